@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.functions.addresses import plain_address
-from tapline.llm import history, nearest
+from tapline.llm import history, leaks, nearest, spam
 from tapline.plans.data_queries import ADDRESS
 from tapline.plans.tables import table
 
@@ -26,10 +26,23 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("right_id").alias("tx_id"), F.col("left_id").alias("row_ord"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p9_found, p10_found)}
 
 SQL = {
     "p7_found": f"""WITH t AS (SELECT DISTINCT row_ord, {ADDRESS.format(c="issuer_ip")} AS a, observed_ns AS o FROM topology WHERE issuer_ip IS NOT NULL AND observed_ns IS NOT NULL),
 d AS (SELECT DISTINCT tx_id, {ADDRESS.format(c="issuer_ip")} AS a, req_ts_ns AS r FROM dns_tx WHERE issuer_ip IS NOT NULL AND req_ts_ns IS NOT NULL)
 SELECT arg_min(tx_id, (abs(r - o), tx_id)) AS tx_id, row_ord FROM t JOIN d ON t.a = d.a AND r BETWEEN o - 5000000000 AND o + 5000000000 GROUP BY row_ord""",
+    "p9_found": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+v AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+a AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS s FROM w, unnest(range(1, len(w) - 11)) AS t(i)),
+b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS s FROM v, unnest(range(1, len(w) - 11)) AS t(i))
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s)""",
 }
