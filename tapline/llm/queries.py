@@ -6,13 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.functions.addresses import plain_address
-from tapline.llm import history, leaks, nearest, spam
+from tapline.llm import distinct, history, leaks, nearest, packing, spam
 from tapline.plans.data_queries import ADDRESS
 from tapline.plans.tables import table
 
 TOLERANCE_NS = 5_000_000_000
 
 
+DAY_NS = 86_400_000_000_000
+DIMS = ["day", "net_id", "protocol", "port", "dns_source"]
+
+
+def _connections(spark: SparkSession, folder: str) -> DataFrame:
+    day = F.floor(F.col("observed_ns") / F.lit(DAY_NS)).cast("int").alias("day")
+    return table(spark, folder, "topology").select(day, *DIMS[1:], plain_address(F.col("issuer_ip")).alias("issuer"), plain_address(F.col("destination_ip")).alias("destination"))
+
+
+def p1_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct issuers and destinations for every combination of day, net, protocol, port and source."""
+    rows = _connections(spark, folder)
+    return distinct.cube_counts(rows, {d: F.col(d) for d in DIMS}, {"unique_sources": F.col("issuer"), "unique_dest_ips": F.col("destination")})
+
+
+def p1_merged_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct issuers per net over all days, from the partial bitmaps of single days."""
+    rows = _connections(spark, folder)
+    codes = distinct.dictionary(rows.select("issuer"))
+    daily = distinct.words(rows, ["day", "net_id"], "issuer", codes)
+    return distinct.counted(distinct.merged(daily, ["net_id"]), ["net_id"], "unique_sources")
+
+
+def p1_resolved_and_reached(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses that were resolved, that were reached, and that were both: bitmaps united and intersected."""
+    reached = _connections(spark, folder).select(F.lit("all").alias("part"), F.col("destination").alias("ip"))
+    resolved = table(spark, folder, "dns_tx_ip").select(F.lit("all").alias("part"), plain_address(F.col("ip")).alias("ip"))
+    codes = distinct.cut(distinct.dictionary(reached.select("ip").unionByName(resolved.select("ip"))))
+    a, b = (distinct.words(x, ["part"], "ip", codes) for x in (resolved, reached))
+    one = distinct.counted(a, ["part"], "resolved").join(distinct.counted(b, ["part"], "reached"), "part", "left")
+    return one.join(distinct.counted(distinct.common(a, b, ["part"]), ["part"], "both"), "part", "left").select("resolved", "reached", "both")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.near_known(table(spark, folder, "ip_dns"))
 
@@ -26,6 +59,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("right_id").alias("tx_id"), F.col("left_id").alias("row_ord"))
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -34,9 +71,17 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_cube, p1_merged_days, p1_resolved_and_reached, p6_found, p7_found, p8_packed, p9_found, p10_found)}
+
+_T = f"""t AS (SELECT CAST(observed_ns // 86400000000000 AS INT) AS day, net_id, protocol, port, dns_source, {ADDRESS.format(c="issuer_ip")} AS i, {ADDRESS.format(c="destination_ip")} AS d FROM topology)"""
 
 SQL = {
+    "p1_cube": f"""WITH {_T} SELECT day, net_id, protocol, port, dns_source,
+  CAST(grouping(day) + 2 * grouping(net_id) + 4 * grouping(protocol) + 8 * grouping(port) + 16 * grouping(dns_source) AS INT) AS grouping,
+  count(DISTINCT i) AS unique_sources, count(DISTINCT d) AS unique_dest_ips FROM t GROUP BY CUBE (day, net_id, protocol, port, dns_source)""",
+    "p1_merged_days": f"WITH {_T} SELECT net_id, count(DISTINCT i) AS unique_sources FROM t WHERE i IS NOT NULL GROUP BY net_id",
+    "p1_resolved_and_reached": f"""WITH {_T}, r AS (SELECT DISTINCT {ADDRESS.format(c="ip")} AS d FROM dns_tx_ip WHERE ip IS NOT NULL), q AS (SELECT DISTINCT d FROM t WHERE d IS NOT NULL)
+SELECT (SELECT count(*) FROM r) AS resolved, (SELECT count(*) FROM q) AS reached, (SELECT count(*) FROM r JOIN q USING (d)) AS both""",
     "p7_found": f"""WITH t AS (SELECT DISTINCT row_ord, {ADDRESS.format(c="issuer_ip")} AS a, observed_ns AS o FROM topology WHERE issuer_ip IS NOT NULL AND observed_ns IS NOT NULL),
 d AS (SELECT DISTINCT tx_id, {ADDRESS.format(c="issuer_ip")} AS a, req_ts_ns AS r FROM dns_tx WHERE issuer_ip IS NOT NULL AND req_ts_ns IS NOT NULL)
 SELECT arg_min(tx_id, (abs(r - o), tx_id)) AS tx_id, row_ord FROM t JOIN d ON t.a = d.a AND r BETWEEN o - 5000000000 AND o + 5000000000 GROUP BY row_ord""",
