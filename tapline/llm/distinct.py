@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,21 +123,21 @@ def _lattice(digits: list[np.ndarray], sizes: list[int], word: np.ndarray, bits:
             del done[g]
 
 
-def _factor(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    codes, values = pd.factorize(column.to_numpy(zero_copy_only=False), use_na_sentinel=False)
-    return codes.astype(np.int64), values
+def _count_task(fields: list[tuple[int, int, int]], packs: int, hot: bool) -> callable:
+    """Counts (or, for hot identifiers, words) of every combination over the rows of one task.
 
-
-def _count_task(dims: int, hot: bool) -> callable:
-    """Counts (or, for hot identifiers, words) of every combination over the rows of one task."""
+    ``fields`` gives the packed number, place and bits of each dimension.
+    """
+    schema = pa.schema([("grouping", pa.int32()), *((f"p{w}", pa.int64()) for w in range(packs)), ("word", pa.int64()), ("n", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        factors = [_factor(table[f"d{k}"]) for k in range(dims)]
-        digits, values = [f for f, _ in factors], [v for _, v in factors]
-        ident, _ = (table["id"].to_numpy(), None) if hot else _factor(table["id"])
-        bits = np.left_shift(np.uint64(1), (ident % WORD_BITS).astype(np.uint64))
+        packed = [table[f"p{w}"].to_numpy() for w in range(packs)]
+        factors = [np.unique(packed[w] >> shift & (1 << bits) - 1, return_inverse=True) for w, shift, bits in fields]
+        values, digits = [v for v, _ in factors], [d for _, d in factors]
+        ident = table["id"].to_numpy() if hot else table["id"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        mask = np.left_shift(np.uint64(1), (ident % WORD_BITS).astype(np.uint64))
         out = []
-        for grouping, group, word, b in _lattice(digits, [max(1, len(v)) for v in values], ident // WORD_BITS, bits):
+        for grouping, group, word, b in _lattice(digits, [max(1, len(v)) for v in values], ident // WORD_BITS, mask):
             if hot:
                 n, w, x = b.view(np.int64), word, group
             else:  # words of a group are neighbours
@@ -149,61 +148,88 @@ def _count_task(dims: int, hot: bool) -> callable:
                 first = np.flatnonzero(change)
                 n = np.add.reduceat(np.bitwise_count(b).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
                 w, x = np.zeros(len(n), dtype=np.int64), [g[first] for g in group]
-            keys = [np.asarray(v, dtype=np.int64)[g] if not grouping >> k & 1 else np.full(len(g), -1) for k, (v, g) in enumerate(zip(values, x, strict=True))]
-            out.append(pa.table({"grouping": np.full(len(n), grouping, dtype=np.int32), **{f"d{k}": c for k, c in enumerate(keys)}, "word": w, "n": n}))
-        schema = pa.schema([("grouping", pa.int32()), *((f"d{k}", pa.int64()) for k in range(dims)), ("word", pa.int64()), ("n", pa.int64())])
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
+            keys = [np.zeros(len(n), dtype=np.int64) for _ in range(packs)]
+            for k, (at, shift, _) in enumerate(fields):
+                if not grouping >> k & 1:
+                    keys[at] |= values[k][x[k]] << shift
+            out.append(pa.table([np.full(len(n), grouping, dtype=np.int32), *keys, w, n], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
+def _pack(bits: list[int], width: int = 62) -> list[list[int]]:
+    """Dimensions grouped so that the bits of each group fit in one number."""
+    groups: list[list[int]] = [[]]
+    for k, b in enumerate(bits):
+        if groups[-1] and sum(bits[i] for i in groups[-1]) + b > width:
+            groups.append([])
+        groups[-1].append(k)
+    return groups
+
+
 def cube_counts(rows: DataFrame, dims: dict[str, Column], idents: dict[str, Column], task_rows: int = TASK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(dims..., grouping, one count per identifier column) for every combination of dimension values.
 
-    Dimension values travel as numbers: 0 is null, then dense codes; -1 stands for a rolled-up dimension.
+    Dimension values travel as numbers: 0 is null or rolled up, then codes from 1 on, packed into as few 64-bit
+    numbers as their bits allow.
     """
-    names, total = list(dims), rows.count()
-    tasks = task_count(rows, total, task_rows)
+    names = list(dims)
     base = rows.select(*[c.alias(k) for k, c in dims.items()], *[c.alias(f"_{k}") for k, c in idents.items()])
-    codes, packed, types = {}, base, dict(base.dtypes)
-    for k, name in enumerate(names):
-        if types[name] in ("int", "bigint", "smallint", "tinyint"):
-            packed = packed.withColumn(f"d{k}", F.coalesce(F.col(name).cast("bigint") + 1, F.lit(0)))  # values from 0 on are dense enough
+    types = dict(base.dtypes)
+    numeric = [n for n in names if types[n] in ("int", "bigint", "smallint", "tinyint")]
+    total, *limits = base.agg(F.count(F.lit(1)), *[f(F.col(n)) for n in numeric for f in (F.min, F.max)]).first()
+    tasks = task_count(rows, total, task_rows)
+    low = {n: limits[2 * k] or 0 for k, n in enumerate(numeric)}
+    values = {n: (limits[2 * k + 1] or 0) - low[n] + 1 for k, n in enumerate(numeric)}
+    codes, packed = {}, base
+    for name in names:
+        if name in low:
+            packed = packed.withColumn(f"d_{name}", F.coalesce(F.col(name).cast("bigint") - F.lit(low[name]) + 1, F.lit(0)))
         else:
-            coded = cut(dictionary(base.select(name)).select(F.col("id").alias(name), (F.col("code") + 1).alias(f"d{k}")))
-            codes[name] = (coded, coded.count())
-            packed = packed.join(_small(*codes[name]), name, "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0)))
-    ds = [f"d{k}" for k in range(len(names))]
-    shape = "grouping int, " + ", ".join(f"{d} bigint" for d in ds) + ", word bigint, n bigint"
-    key = ["grouping", *ds]
+            coded = cut(dictionary(base.select(name)).select(F.col("id").alias(name), (F.col("code") + 1).alias(f"d_{name}")))
+            values[name] = coded.count()
+            codes[name] = coded
+            packed = packed.join(_small(coded, values[name]), name, "left").withColumn(f"d_{name}", F.coalesce(f"d_{name}", F.lit(0)))
+    bits = [int(values[n]).bit_length() for n in names]
+    groups = _pack(bits)
+    shift = {k: sum(bits[i] for i in g if i < k) for g in groups for k in g}
+    word_of = {k: w for w, g in enumerate(groups) for k in g}
+    ps = [f"p{w}" for w in range(len(groups))]
+    place = lambda k: F.lit(1 << shift[k])
+    packed = packed.select(*[sum((F.col(f"d_{names[k]}") * place(k) for k in g), F.lit(0).cast("bigint")).alias(p) for p, g in zip(ps, groups, strict=True)], *[f"_{i}" for i in idents])
+
+    shape = "grouping int, " + ", ".join(f"{p} bigint" for p in ps) + ", word bigint, n bigint"
+    key = ["grouping", *ps]
+    task = lambda hot: _count_task([(word_of[k], shift[k], bits[k]) for k in range(len(names))], len(ps), hot)
     parts = None
     for ident in idents:
-        slim = packed.select(*ds, F.col(f"_{ident}").alias("id"))
-        often = cut(slim.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("id"))
+        slim = packed.select(*ps, F.col(f"_{ident}").alias("id")).filter("id is not null")
+        often = cut(slim.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("id"))
         n_hot = often.count()
-        cold = slim.filter("id is not null")
-        found = None
+        cold, found = slim, None
         if n_hot:
             numbered = cut(dictionary(often))
-            cold = cold.join(_small(often, n_hot), "id", "left_anti")
-            hot = slim.join(_small(numbered, n_hot), "id").select(*ds, F.col("code").alias("id")).withColumn("task", F.pmod(F.xxhash64(*ds), F.lit(tasks)))
-            bits = hot.groupBy("task").applyInArrow(_count_task(len(ds), True), shape).groupBy(*key, "word").agg(F.bit_or("n").alias("bits"))
-            found = bits.select(*key, F.bit_count("bits").cast("bigint").alias("n"))
+            cold = slim.join(_small(often, n_hot), "id", "left_anti")
+            hot = slim.join(_small(numbered, n_hot), "id").select(*ps, F.col("code").alias("id")).withColumn("task", F.pmod(F.xxhash64(*ps), F.lit(tasks)))
+            united = hot.groupBy("task").applyInArrow(task(True), shape).groupBy(*key, "word").agg(F.bit_or("n").alias("bits"))
+            found = united.select(*key, F.bit_count("bits").cast("bigint").alias("n"))
         cold = cold.withColumn("task", F.pmod(F.xxhash64("id"), F.lit(tasks)))
-        plain = cold.groupBy("task").applyInArrow(_count_task(len(ds), False), shape).select(*key, "n")
+        plain = cold.groupBy("task").applyInArrow(task(False), shape).select(*key, "n")
         found = plain if found is None else found.unionByName(plain)
         found = found.select(*key, *[(F.col("n") if other == ident else F.lit(0).cast("bigint")).alias(other) for other in idents])
         parts = found if parts is None else parts.unionByName(found)
     # Groups without any identifier still exist: their rows come in with counts of 0.
-    blank = packed.filter(" and ".join(f"_{i} is null" for i in idents)).select(*ds).distinct()
-    masks = F.explode(F.sequence(F.lit(0), F.lit((1 << len(ds)) - 1)))
-    blank = blank.withColumn("grouping", masks).select("grouping", *[F.when(F.expr(f"(grouping >> {k}) & 1 = 1"), F.lit(-1)).otherwise(F.col(d)).cast("bigint").alias(d) for k, d in enumerate(ds)])
+    kept = lambda w: sum((F.when(F.expr(f"(grouping >> {k}) & 1 = 0"), F.lit(((1 << bits[k]) - 1) << shift[k])).otherwise(F.lit(0)) for k in groups[w]), F.lit(0).cast("bigint"))
+    blank = packed.filter(" and ".join(f"_{i} is null" for i in idents)).select(*ps).distinct()
+    blank = blank.withColumn("grouping", F.explode(F.sequence(F.lit(0), F.lit((1 << len(names)) - 1))))
+    blank = blank.select("grouping", *[F.col(p).bitwiseAND(kept(w)).alias(p) for w, p in enumerate(ps)])
     parts = parts.unionByName(blank.select(*key, *[F.lit(0).cast("bigint").alias(i) for i in idents]))
     result = parts.groupBy(*key).agg(*[F.sum(i).alias(i) for i in idents])
     for k, name in enumerate(names):
+        code = F.shiftright(F.col(ps[word_of[k]]), shift[k]).bitwiseAND(F.lit((1 << bits[k]) - 1))
         if name in codes:
-            coded, n = codes[name]
-            result = result.join(_small(coded, n), f"d{k}", "left")
+            result = result.withColumn(f"d_{name}", code).join(_small(codes[name], values[name]), f"d_{name}", "left")
         else:
-            result = result.withColumn(name, F.when(F.col(f"d{k}") > 0, F.col(f"d{k}") - 1).cast(types[name]))
+            result = result.withColumn(name, F.when(code > 0, code - 1 + F.lit(low[name])).cast(types[name]))
     return result.select(*names, "grouping", *idents)
