@@ -22,9 +22,9 @@ def is_ipv4(ip: Column) -> Column:
 
 
 def canonical_ipv4(ip: Column) -> Column:
-    """Trimmed IPv4 text, or null when it is not one (IPv6 included)."""
-    trimmed = F.btrim(ip, F.lit(BLANKS))
-    return F.when(is_ipv4(trimmed), trimmed)
+    """IPv4 text without blanks and IPv4-mapped prefix, or null when it is not one (other IPv6 included)."""
+    plain = plain_address(ip)
+    return F.when(is_ipv4(plain), plain)
 
 
 def ipv4_value(ip: Column) -> Column:
