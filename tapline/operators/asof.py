@@ -74,8 +74,8 @@ def _match(span: int) -> callable:
         at = code[:n].astype(np.int64) * step + events["offset"].to_numpy()
         since = code[n:].astype(np.int64) * step + np.clip(versions["since"].to_numpy(), 0, span)
         until = code[n:].astype(np.int64) * step + np.clip(versions["until"].to_numpy(), -1, span - 1)
-        start, known, vid = (versions[c].to_numpy() for c in ("start", "known", "version_id"))
-        order = np.lexsort((vid, known, start))
+        one, two, vid = (versions[c].to_numpy() for c in ("first", "second", "version_id"))
+        order = np.lexsort((vid, two, one))
         weight = np.empty(len(order), dtype=np.int64)
         weight[order] = np.arange(len(order))
         by_time = np.argsort(at, kind="stable")
@@ -88,10 +88,13 @@ def _match(span: int) -> callable:
 
 
 def as_known(
-    events: DataFrame, versions: DataFrame, *, event_id: str, event_entity: Column, event_time: Column, version_id: str, version_entity: Column, start: str, end: str, known: str,
+    events: DataFrame, versions: DataFrame, *, event_id: str, event_entity: Column, event_time: Column, version_id: str, version_entity: Column, start: str, end: str, known: str, prefer: tuple[Column, Column] | None = None,
     bucket: int = BUCKET_MS, cell_rows: int = CELL_ROWS, task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """(event_id, version_id) of every event that has an active version, times in milliseconds."""
+    """(event_id, version_id) of every event that has an active version, times in milliseconds.
+
+    ``prefer`` are two BIGINT columns the greatest of which wins; start and record time unless given.
+    """
     e = events.select(F.col(event_id).cast("bigint").alias("event_id"), event_entity.alias("entity"), event_time.cast("bigint").alias("t")).filter("event_id is not null and entity is not null and t is not null")
     low, high, n = e.agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
     low, high = (low, high) if n else (0, 0)
@@ -101,8 +104,11 @@ def as_known(
     e = e.distinct().withColumn("bucket", F.floor(F.col("t") / F.lit(bucket)) - F.lit(first))
 
     opened = F.when(F.col(end).isNull() | (F.col(end) == 0), F.lit(HIGH)).otherwise(F.col(end).cast("bigint"))
-    v = versions.select(F.col(version_id).cast("bigint").alias("version_id"), version_entity.alias("entity"), F.col(start).cast("bigint").alias("start"), opened.alias("until"), F.coalesce(F.col(known), F.col(start)).cast("bigint").alias("known"))
-    v = v.filter("version_id is not null and entity is not null and start is not null and until >= start").withColumn("since", F.greatest("start", "known"))
+    begun, recorded = F.col(start).cast("bigint"), F.coalesce(F.col(known), F.col(start)).cast("bigint")
+    first_choice, second_choice = prefer or (begun, recorded)
+    v = versions.filter(F.col(version_id).isNotNull() & begun.isNotNull() & (opened >= begun))
+    v = v.select(F.col(version_id).cast("bigint").alias("version_id"), version_entity.alias("entity"), opened.alias("until"), F.greatest(begun, recorded).alias("since"), first_choice.alias("first"), second_choice.alias("second"))
+    v = v.filter("entity is not null")
     v = v.filter((F.col("since") <= F.col("until")) & (F.col("since") <= F.lit(high)) & (F.col("until") >= F.lit(low)))
     inside = lambda c: F.floor(F.least(F.greatest(c, F.lit(low)), F.lit(high)) / F.lit(bucket)) - F.lit(first)
     v = v.withColumns({"b1": inside(F.col("since")), "b2": inside(F.col("until"))})
@@ -112,15 +118,15 @@ def as_known(
     width = F.expr("shiftleft(1L, level)")
     nodes = nodes.withColumns({"l": F.floor((F.col("b1") + width) / width), "r": F.floor(F.col("b2") / width)}).filter("l < r")
     nodes = nodes.withColumn("node", F.explode(F.filter(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)), lambda x: x.isNotNull())))
-    best = F.max(F.struct("start", "known", "version_id")).alias("best")
+    best = F.max(F.struct("first", "second", "version_id")).alias("best")
     nodes = nodes.groupBy("entity", "level", "node").agg(best)
     up = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.floor(F.col("bucket") / width))
     covers = up.join(nodes, ["entity", "level", "node"]).groupBy("entity", "bucket").agg(F.max("best").alias("best"))
-    covers = covers.select("entity", "bucket", F.lit(0).cast("bigint").alias("since"), F.lit(bucket - 1).cast("bigint").alias("until"), "best.start", "best.known", "best.version_id")
+    covers = covers.select("entity", "bucket", F.lit(0).cast("bigint").alias("since"), F.lit(bucket - 1).cast("bigint").alias("until"), "best.first", "best.second", "best.version_id")
     begin = (F.col("bucket") + F.lit(first)) * F.lit(bucket)
     edge = v.withColumn("bucket", F.explode(F.array_distinct(F.array("b1", "b2"))))
     limit = lambda c: F.least(F.greatest(c - begin, F.lit(-1)), F.lit(bucket)).cast("bigint")
-    edge = edge.select("entity", "bucket", limit(F.col("since")).alias("since"), limit(F.col("until")).alias("until"), "start", "known", "version_id")
+    edge = edge.select("entity", "bucket", limit(F.col("since")).alias("since"), limit(F.col("until")).alias("until"), "first", "second", "version_id")
     v = edge.unionByName(covers)
 
     crowded = cells.filter(F.col("n") > cell_rows).select("entity", "bucket", F.ceil(F.col("n") / F.lit(cell_rows)).alias("salts"))
@@ -128,5 +134,5 @@ def as_known(
     v = v.join(crowded, ["entity", "bucket"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)))
     task = F.pmod(F.xxhash64("entity", "bucket", "salt"), F.lit(tasks)).alias("task")
     e = e.select(task, "entity", "bucket", "salt", "event_id", (F.col("t") - begin).alias("offset"))
-    v = v.select(task, "entity", "bucket", "salt", "since", "until", "start", "known", "version_id")
+    v = v.select(task, "entity", "bucket", "salt", "since", "until", "first", "second", "version_id")
     return e.groupBy("task").cogroup(v.groupBy("task")).applyInArrow(_match(bucket), "event_id bigint, version_id bigint")
