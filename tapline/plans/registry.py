@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapline.plans import data_queries, function_queries, topology_queries
+from tapline.plans import data_queries, function_queries, report_queries, topology_queries
 
-MODULES = (data_queries, function_queries, topology_queries)
+MODULES = (data_queries, function_queries, topology_queries, report_queries)
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, folder: str):
-    return data_queries.p3_found(spark, folder)
+    return report_queries.attributed_endpoints(spark, folder)
