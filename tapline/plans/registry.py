@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapline.plans import data_queries, flow_queries, function_queries, report_queries, topology_queries
+from tapline.plans import data_queries, flow_queries, function_queries, parser_queries, report_queries, topology_queries
 
-MODULES = (data_queries, function_queries, topology_queries, report_queries, flow_queries)
+MODULES = (data_queries, function_queries, topology_queries, report_queries, flow_queries, parser_queries)
 
 
 def queries() -> dict:

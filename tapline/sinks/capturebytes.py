@@ -1,4 +1,6 @@
-"""Building packets and capture files byte by byte."""
+"""Packets and capture files byte by byte: for writing captures out, and for round trips through the parsers."""
+
+from __future__ import annotations
 
 import struct
 

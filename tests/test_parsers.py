@@ -1,9 +1,9 @@
 import io
 
 import pytest
-from captures import accounting, classic, client_hello, framed, frame, next_generation, query, response, tcp, udp
 
 from tapline.parsers import capture, dns, radius, tls
+from tapline.sinks.capturebytes import accounting, classic, client_hello, framed, frame, next_generation, query, response, tcp, udp
 
 LONG = "a293ycymj5u8y6-ats.iot.eu-west-1.amazonaws.com"
 

@@ -1,11 +1,11 @@
 import json
 
 import pytest
-from captures import accounting, classic, client_hello, frame, query, response, tcp, udp
 
 from tapline.__main__ import parser
 from tapline.options import RunOptions, duration_ns, port_list, resolver_list
 from tapline.plans import pipeline
+from tapline.sinks.capturebytes import accounting, classic, client_hello, frame, query, response, tcp, udp
 from tapline.sources import pcap
 
 T = 1_700_000_000 * 10**9
