@@ -30,6 +30,12 @@ def is_name(name: Column) -> Column:
     return F.coalesce(name.rlike(NAME) & (F.length(bare) <= 253), F.lit(False))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row. A filter on a plain column would be pushed below the steps it is
+    made of and repeat them all; nothing is pushed below a generator."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def _separated(line: Column) -> Column:
     """The line with every field separator outside double quotes replaced by SEP."""
     parts = F.split(line, '"')
@@ -46,32 +52,32 @@ def read_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     ``reason`` is null for a valid line, which then has both fields; otherwise it is one of REASONS, ``ip`` and
     ``dns`` are null, and the raw text stays in the line column.
     """
-    bare = F.btrim(F.col(line), F.lit(" \t"))
-    rows = lines.drop("ip", "dns", "reason").withColumns({"_bare": bare})
-    rows = rows.filter((F.col("_bare") != "") & ~F.startswith(F.col("_bare"), F.lit("#")))
-    rows = rows.withColumn("_even", F.length(F.regexp_replace("_bare", '[^"]', "")) % 2 == 0)
+    rows = lines.drop("ip", "dns", "reason")
+    rows = _once(rows, "_bare", F.btrim(F.col(line), F.lit(" \t"))).filter((F.col("_bare") != "") & ~F.startswith(F.col("_bare"), F.lit("#")))
+    even = F.length(F.regexp_replace("_bare", '[^"]', "")) % 2 == 0
     # A control character of the separator's value inside a line cannot be part of a valid field.
-    safe = F.regexp_replace(F.col("_bare"), "[\x01\r\n]", "\x02")
-    rows = rows.withColumn("_text", F.when(F.col("_even"), _separated(safe)).otherwise(safe))
+    rows = _once(rows, "_line", F.struct(even.alias("even"), F.regexp_replace("_bare", "[\x01\r\n]", "\x02").alias("safe")))
+    rows = _once(rows, "_text", F.when(F.col("_line.even"), _separated(F.col("_line.safe"))).otherwise(F.col("_line.safe")))
     options = {"sep": SEP, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": "", "maxCharsPerColumn": "-1", "maxColumns": "2000000", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x03"}
-    rows = rows.withColumn("_read", F.from_csv("_text", F.lit(SCHEMA), options))
+    rows = _once(rows, "_read", F.from_csv("_text", F.lit(SCHEMA), options))
+
+    # Quoting is judged on the raw fields: a corrupt row may have any number of them.
+    rows = _once(rows, "_fields", F.transform(F.split("_text", SEP), lambda x: F.btrim(x, F.lit(" \t"))))
+    quoting = ~F.col("_line.even") | F.exists("_fields", lambda x: F.contains(x, F.lit('"')) & ~x.rlike(r'(?s)^"[^"]*"$'))
+    columns = F.col("_read.corrupt").isNotNull() | (F.size("_fields") != 2)
 
     def value(name: str) -> Column:
         field = F.btrim(F.coalesce(F.col(f"_read.{name}"), F.lit("")), F.lit(" \t"))
-        inner = F.when(field.rlike(r'(?s)^"[^"]*"$'), F.btrim(F.substring(field, F.lit(2), F.length(field) - 2), F.lit(" \t")))
-        return F.coalesce(inner, field)
+        return F.btrim(F.regexp_replace(field, r'(?s)^"([^"]*)"$', "$1"), F.lit(" \t"))
 
-    # Quoting is judged on the raw fields: a corrupt row may have any number of them.
-    fields = F.transform(F.split("_text", SEP), lambda x: F.btrim(x, F.lit(" \t")))
-    quoting = ~F.col("_even") | F.exists(fields, lambda x: F.contains(x, F.lit('"')) & ~x.rlike(r'(?s)^"[^"]*"$'))
-    columns = F.col("_read.corrupt").isNotNull() | (F.size(F.split("_text", SEP)) != 2)
-    rows = rows.withColumns({"_left": value("left_field"), "_right": value("right_field")})
-    ip_left, ip_right = is_ipv4(F.col("_left")), is_ipv4(F.col("_right"))
-    rows = rows.withColumns({"_ip": F.when(ip_left, F.col("_left")).when(ip_right, F.col("_right")), "_dns": F.when(ip_left, F.col("_right")).otherwise(F.col("_left"))})
-    reason = F.when(quoting, "quoting").when(columns, "columns").when(F.col("_ip").isNull(), "ip").when(~is_name(F.col("_dns")), "dns")
-    rows = rows.withColumn("reason", reason)
+    rows = _once(rows, "_pair", F.struct(value("left_field").alias("left"), value("right_field").alias("right")))
+    rows = _once(rows, "_ips", F.struct(is_ipv4(F.col("_pair.left")).alias("left"), is_ipv4(F.col("_pair.right")).alias("right")))
+    name = F.when(F.col("_ips.left"), F.col("_pair.right")).otherwise(F.col("_pair.left"))
+    why = F.when(quoting, "quoting").when(columns, "columns").when(~F.col("_ips.left") & ~F.col("_ips.right"), "ip").when(~is_name(name), "dns")
+    rows = _once(rows, "reason", why)
     good = F.col("reason").isNull()
-    return rows.withColumns({"ip": F.when(good, F.col("_ip")), "dns": F.when(good, F.col("_dns"))}).drop("_bare", "_even", "_text", "_read", "_left", "_right", "_ip", "_dns")
+    ip = F.when(F.col("_ips.left"), F.col("_pair.left")).otherwise(F.col("_pair.right"))
+    return rows.withColumns({"ip": F.when(good, ip), "dns": F.when(good, name)}).drop("_bare", "_line", "_text", "_read", "_fields", "_pair", "_ips")
 
 
 def valid_pairs(lines: DataFrame, line: str = "line") -> DataFrame:
