@@ -53,3 +53,12 @@ def task_count(df: DataFrame, rows: int, rows_per_task: int) -> int:
     """Shuffle partitions for ``rows`` rows: as many as the session asks for, more where a task would get too much."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(base, -(-rows // rows_per_task))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For rows that Python is to work on: spread them if they come in fewer partitions than there are cores.
+
+    A large input comes in many splits and stays where it is; only a few small files are shuffled, whole rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
