@@ -76,9 +76,17 @@ def probe_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.explode(F.array_compact(F.array_distinct(F.array(*keys))))).select("key", "ip", "name", "digits", "ord")
 
 
+def _same(a: str, b: str, columns: tuple[str, ...]) -> Column:
+    """Equal bucket keys, and the columns they are made of equal too, as two comparisons each: were these plain
+    equalities, they would count as join keys, by which the tables are not bucketed, and the history be shuffled."""
+    same = F.col(f"{a}.key") == F.col(f"{b}.key")
+    for c in columns:
+        same = same & (F.col(f"{a}.{c}") <= F.col(f"{b}.{c}")) & (F.col(f"{a}.{c}") >= F.col(f"{b}.{c}"))
+    return same
+
+
 def _near(a: str, b: str) -> Column:
-    same = (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.ip") == F.col(f"{b}.ip")) & (F.col(f"{a}.digits") == F.col(f"{b}.digits"))
-    return same & F.levenshtein(F.col(f"{a}.name"), F.col(f"{b}.name"), DISTANCE).between(0, DISTANCE)
+    return _same(a, b, ("ip", "digits")) & F.levenshtein(F.col(f"{a}.name"), F.col(f"{b}.name"), DISTANCE).between(0, DISTANCE)
 
 
 def _decided(fresh: DataFrame) -> DataFrame:
@@ -104,7 +112,8 @@ class AcceptedPairs:
     """Everything accepted so far, as bucketed hash tables under one folder."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+        # Fewer buckets than shuffle partitions would make Spark prefer to shuffle the tables after all.
+        self.spark, self.buckets = spark, max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"accepted_{uuid.uuid4().hex[:12]}"
         self.folder = folder or f"{shared_folder(spark)}/{self.name}"
         self.empty = True
@@ -129,7 +138,7 @@ class AcceptedPairs:
             return
         keyed = rows.withColumn("key", F.xxhash64("ip", "name")).alias("n")
         whole = self.table("whole").alias("w")
-        rest = keyed.join(whole, [F.col("n.key") == F.col("w.key"), F.col("n.ip") == F.col("w.ip"), F.col("n.name") == F.col("w.name")], "left_anti").drop("key")
+        rest = keyed.join(whole, _same("n", "w", ("ip", "name")), "left_anti").drop("key")
         rest = cut(rest)
         near = probe_rows(rest).alias("b").join(self.table("part").alias("a"), _near("a", "b"), "left_semi").select("ord").distinct()
         fresh = cut(rest.join(near, "ord", "left_anti"))
