@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tapline.functions import evidence as ev
 from tapline.functions.addresses import is_ipv4, is_rfc1918
 from tapline.functions.names import canonical_name, canonical_name_trim_first
+from tapline.session import cut
 
 # Ports of name resolution itself, and the labels rules compare with.
 DNS_PORTS = (53, 853, 5353)
@@ -35,30 +36,32 @@ def eligible(edges: DataFrame, transactions: DataFrame) -> DataFrame:
     return kept.join(resolvers, "issuer_ip", "left_anti")
 
 
-def best_transactions(edges: DataFrame, transactions: DataFrame, addresses: DataFrame, max_age_ns: int = MAX_AGE_NS) -> DataFrame:
-    """(edge_ord, tx_id, name, bits): for each edge the best transaction that named its destination beforehand.
+def _with_best(edges: DataFrame, transactions: DataFrame, addresses: DataFrame, max_age_ns: int) -> DataFrame:
+    """The edges with ``best``: score, time, -tx_id, name and bits of the transaction that fits best, null if none.
 
     Transactions with a protocol or port of their own must agree with the edge and are preferred, names from a
     client hello slightly; then the latest request wins. Time buckets as wide as the age limit keep the join of a
     busy pair small: a partner is in the same or the previous bucket.
     """
-    named = transactions.filter("issuer_ip is not null and dns_name is not null and dns_name <> ''").select("tx_id", "issuer_ip", "req_ts_ns", "dns_name", "name_evidence", F.lower("proto").alias("tx_proto"), F.when(F.col("dest_port") > 0, F.col("dest_port")).alias("tx_port"))
-    tx = named.join(addresses.select("tx_id", F.col("ip").alias("dst_ip"), "evidence"), "tx_id")
-    e = edges.select("edge_ord", "issuer_ip", "dst_ip", F.lower("proto").alias("proto"), "port", "first_seen_ns")
-    on = ["issuer_ip", "dst_ip"]
+    named = transactions.filter("issuer_ip is not null and dns_name is not null and dns_name <> ''").select("tx_id", F.col("issuer_ip").alias("tx_issuer"), "req_ts_ns", "dns_name", F.coalesce("name_evidence", F.lit(0)).alias("name_bits"), F.lower("proto").alias("tx_proto"), F.when(F.col("dest_port") > 0, F.col("dest_port")).alias("tx_port"))
+    tx = named.join(addresses.select("tx_id", F.col("ip").alias("tx_ip"), F.coalesce("evidence", F.lit(0)).alias("ip_bits")), "tx_id")
+    columns = edges.columns
+    on = (F.col("issuer_ip") == F.col("tx_issuer")) & (F.col("dst_ip") == F.col("tx_ip")) & (F.col("req_ts_ns") <= F.col("first_seen_ns"))
     if max_age_ns > 0:
-        on.append("bucket")
-        e = e.withColumn("bucket", F.floor(F.col("first_seen_ns") / F.lit(max_age_ns)))
+        edges = edges.withColumn("bucket", F.floor(F.col("first_seen_ns") / F.lit(max_age_ns)))
         own = F.floor(F.col("req_ts_ns") / F.lit(max_age_ns))
-        tx = tx.withColumn("bucket", F.explode(F.array(own, own + 1)))
-    fits = e.join(tx, on).filter(F.col("req_ts_ns") <= F.col("first_seen_ns"))
-    if max_age_ns > 0:
-        fits = fits.filter(F.col("req_ts_ns") >= F.col("first_seen_ns") - max_age_ns)
-    fits = fits.filter((F.col("tx_proto").isNull() | (F.col("tx_proto") == F.col("proto"))) & (F.col("tx_port").isNull() | (F.col("tx_port") == F.col("port"))))
-    score = F.when(F.col("tx_proto").isNotNull(), 2).otherwise(0) + F.when(F.col("tx_port").isNotNull(), 2).otherwise(0) + F.when(ev.has(F.coalesce("name_evidence", F.lit(0)), ev.SNI), 1).otherwise(0)
-    bits = F.coalesce("name_evidence", F.lit(0)).bitwiseOR(F.coalesce("evidence", F.lit(0)))
-    best = fits.groupBy("edge_ord").agg(F.max(F.struct(score.alias("score"), "req_ts_ns", (-F.col("tx_id")).alias("minus"), canonical_name(F.col("dns_name")).alias("name"), bits.alias("bits"))).alias("b"))
-    return best.select("edge_ord", (-F.col("b.minus")).alias("tx_id"), "b.name", "b.bits")
+        tx = tx.withColumn("tx_bucket", F.explode(F.array(own, own + 1)))
+        on = on & (F.col("bucket") == F.col("tx_bucket")) & (F.col("req_ts_ns") >= F.col("first_seen_ns") - max_age_ns)
+    on = on & (F.col("tx_proto").isNull() | (F.col("tx_proto") == F.lower("proto"))) & (F.col("tx_port").isNull() | (F.col("tx_port") == F.col("port")))
+    score = F.when(F.col("tx_proto").isNotNull(), 2).otherwise(0) + F.when(F.col("tx_port").isNotNull(), 2).otherwise(0) + F.when(ev.has(F.col("name_bits"), ev.SNI), 1).otherwise(0)
+    fit = F.struct(score.alias("score"), "req_ts_ns", (-F.col("tx_id")).alias("minus"), canonical_name(F.col("dns_name")).alias("name"), F.col("name_bits").bitwiseOR(F.col("ip_bits")).alias("bits"))
+    return edges.join(tx, on, "left").groupBy(*columns).agg(F.max(F.when(F.col("tx_id").isNotNull(), fit)).alias("best"))
+
+
+def best_transactions(edges: DataFrame, transactions: DataFrame, addresses: DataFrame, max_age_ns: int = MAX_AGE_NS) -> DataFrame:
+    """(edge_ord, tx_id, name, bits): for each edge the best transaction that named its destination beforehand."""
+    found = _with_best(edges, transactions, addresses, max_age_ns).filter("best is not null")
+    return found.select("edge_ord", (-F.col("best.minus")).alias("tx_id"), "best.name", "best.bits")
 
 
 def unambiguous(pairs: DataFrame) -> DataFrame:
@@ -70,11 +73,10 @@ def unambiguous(pairs: DataFrame) -> DataFrame:
 
 def attributed(edges: DataFrame, transactions: DataFrame, addresses: DataFrame, pairs: DataFrame, max_age_ns: int = MAX_AGE_NS, label: Column | None = None) -> DataFrame:
     """One row per eligible edge with name and source: a transaction first, then the map, then nothing."""
-    e = eligible(edges, transactions)
-    best = best_transactions(e, transactions, addresses, max_age_ns).withColumn("found", F.lit(True))
-    rows = e.join(best, "edge_ord", "left").join(unambiguous(pairs), F.col("dst_ip") == F.col("ip"), "left")
+    rows = _with_best(eligible(edges, transactions), transactions, addresses, max_age_ns)
+    rows = rows.join(unambiguous(pairs), F.col("dst_ip") == F.col("ip"), "left").select("*", "best.name", "best.bits")
     inner_dst, inner_issuer = is_rfc1918(F.col("dst_ip")), is_rfc1918(F.col("issuer_ip"))
-    found, mapped = F.col("found").isNotNull(), F.col("map_name").isNotNull()
+    found, mapped = F.col("best").isNotNull(), F.col("map_name").isNotNull()
     name = F.when(inner_dst, "").when(found, F.coalesce("name", F.lit(""))).otherwise(F.coalesce("map_name", F.lit("")))
     from_tx = F.when((F.col("name") != "") & (F.col("bits") != 0), ev.label(F.col("bits").bitwiseOR(F.lit(ev.OBSERVED)))).otherwise("")
     source = F.when(inner_dst, "").when(found, from_tx).when(inner_issuer, F.when(mapped, "csv+mid").otherwise("mid-session")).otherwise(F.when(mapped, "csv+conn").otherwise(""))
@@ -136,9 +138,9 @@ def completed_by_peers(rows: DataFrame) -> DataFrame:
 
 
 def matrix(edges: DataFrame, transactions: DataFrame, addresses: DataFrame, pairs: DataFrame, max_age_ns: int = MAX_AGE_NS, label: Column | None = None) -> DataFrame:
-    """The whole chain."""
+    """The whole chain. Peers are rows of the same result, so that is cut before it is looked at twice."""
     rows = folded(attributed(edges, transactions, addresses, pairs, max_age_ns, label))
-    return completed_by_peers(settle_fallback(without_unnamed_twins(rows)))
+    return completed_by_peers(cut(settle_fallback(without_unnamed_twins(rows))))
 
 
 def short(rows: DataFrame) -> DataFrame:

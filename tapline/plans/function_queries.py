@@ -14,7 +14,7 @@ from tapline.plans.tables import table
 
 
 def _tx(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "dns_tx").dropDuplicates(["tx_id"])
+    return table(spark, folder, "dns_tx").select("tx_id", "dns_name", "name_evidence").distinct()
 
 
 def canon_dns_name(spark, folder):

@@ -11,8 +11,8 @@ from tapline.plans.tables import table
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "dns_tx").withColumns({"issuer_ip": plain_address(F.col("issuer_ip")), "resolver_ip": plain_address(F.col("resolver_ip"))})
-    return rows.dropDuplicates(["tx_id"])
+    rows = table(spark, folder, "dns_tx").distinct().withColumns({"issuer_ip": plain_address(F.col("issuer_ip")), "resolver_ip": plain_address(F.col("resolver_ip"))})
+    return rows
 
 
 def transaction_addresses(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,7 +21,7 @@ def transaction_addresses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "topology").dropDuplicates(["row_ord"])
+    rows = table(spark, folder, "topology").select("row_ord", "issuer_ip", "destination_ip", "protocol", "port", "observed_ns").distinct()
     return rows.select(
         F.col("row_ord").alias("edge_ord"), F.floor(F.col("row_ord") / 400).cast("int").alias("file_idx"), plain_address(F.col("issuer_ip")).alias("issuer_ip"), canonical_ipv4(F.col("destination_ip")).alias("dst_ip"),
         F.lower("protocol").alias("proto"), "port", F.col("observed_ns").alias("first_seen_ns"),
@@ -29,7 +29,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topology(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "topology").dropDuplicates(["row_ord"])
+    rows = table(spark, folder, "topology").drop("net_id").distinct()
     return rows.select(
         "row_ord", plain_address(F.col("issuer_ip")).alias("issuer_ip"), canonical_ipv4(F.col("destination_ip")).alias("destination_ip"), F.coalesce("dns_name", F.lit("")).alias("dns_name"),
         F.coalesce("dns_source", F.lit("")).alias("dns_source"), "protocol", "port", "observed_ns",
