@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapline.session import cut
+from tapline.session import cut, spread
 
 RUN, GRAM = 13, 5
 BLOCK_WORDS = 2_000_000
@@ -75,48 +75,75 @@ def _finder(vocabulary: dict[str, int], wanted: np.ndarray, run: int, gram: int)
     return find
 
 
-def _item_rows(items: list[tuple[int, str | None]], run: int, gram: int) -> Iterator[tuple[int, int, int, str, list[str]]]:
-    """(item, window, place of the shingle in the window, shingle, words of the window)."""
-    for item, text in items:
-        words = words_of(text)
-        for w in range(len(words) - run + 1):
-            window = words[w : w + run]
-            for k in range(run - gram + 1):
-                yield item, w, k, " ".join(window[k : k + gram]), window
+def _window_rows(run: int, gram: int) -> callable:
+    """(item_id, win, place, shingle): every shingle of every window."""
+    schema = pa.schema([("item_id", pa.int64()), ("win", pa.int32()), ("place", pa.int32()), ("shingle", pa.string())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                grams = [" ".join(words[i : i + gram]) for i in range(len(words) - gram + 1)]
+                out += [(item, w, k, grams[w + k]) for w in range(len(words) - run + 1) for k in range(run - gram + 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return rows
+
+
+def _window_words(run: int) -> callable:
+    schema = pa.schema([("item_id", pa.int64()), ("win", pa.int32()), ("words", pa.list_(pa.string()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                out += [(item, w, words[w : w + run]) for w in range(len(words) - run + 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return rows
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of bounded size; a block always holds at least one item."""
-    sized = items.select("item_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
+def _blocks(items: DataFrame, block_words: int) -> Iterator[DataFrame]:
+    """The items in blocks of bounded size."""
+    total = items.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     for b in range(blocks):
-        part = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else sized
-        yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect()]
+        yield items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
+
+
+def _wanted(texts: list[str | None], run: int, gram: int) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers for the words of a block of items, and the sorted hashes of its shingles."""
+    vocabulary: dict[str, int] = {}
+    found = [np.zeros(0, dtype=np.uint64)]
+    for text in texts:
+        words = words_of(text)
+        if len(words) >= run:
+            found.append(_hashes(np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words), dtype=np.uint64, count=len(words)), gram))
+    return vocabulary, np.unique(np.concatenate(found))
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id) of every document and item that share ``run`` consecutive words."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").filter("text is not null")
+    docs = spread(documents.select("doc_id", "text").filter("text is not null"))
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint")
-    for block in _blocks(items, block_words):
-        rows = list(_item_rows(block, run, gram))
-        if not rows:
+    for block in _blocks(items.select("item_id", "text"), block_words):
+        vocabulary, wanted = _wanted([r.text for r in block.select("text").collect()], run, gram)
+        if not len(wanted):
             continue
-        vocabulary: dict[str, int] = {}
-        for r in rows:
-            for w in r[4]:
-                vocabulary.setdefault(w, len(vocabulary) + 1)
-        wanted = np.unique([_hashes(np.array([vocabulary[w] for w in r[4][r[2] : r[2] + gram]], dtype=np.uint64), gram)[0] for r in rows])
         occurs = cut(docs.mapInArrow(_finder(vocabulary, wanted, run, gram), OCCURS))
-        windows = spark.createDataFrame(rows, "item_id bigint, win int, place int, shingle string, words array<string>")
+        windows = block.mapInArrow(_window_rows(run, gram), "item_id bigint, win int, place int, shingle string")
         rarity = occurs.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
         # A window with a shingle that no document holds is in no document; of the others the rarest shingle is the prefix.
         rated = windows.join(rarity, "shingle", "left")
         per = Window.partitionBy("item_id", "win")
         rated = rated.withColumns({"all_held": F.min(F.col("n").isNotNull()).over(per), "rank": F.row_number().over(per.orderBy(F.col("n").asc_nulls_last(), "shingle", "place"))})
-        prefix = rated.filter("all_held and rank = 1").select("item_id", "place", "shingle", "words")
+        prefix = rated.filter("all_held and rank = 1").select("item_id", "win", "place", "shingle")
+        prefix = prefix.join(block.mapInArrow(_window_words(run), "item_id bigint, win int, words array<string>"), ["item_id", "win"])
         found = occurs.join(prefix, "shingle").filter((F.col("pos") >= F.col("place")) & (F.col("pos") - F.col("place") + run <= F.col("n_words")))
         found = found.filter(F.slice("around", F.col("lead") - F.col("place") + 1, F.lit(run)) == F.col("words"))
         out = out.unionByName(found.select("doc_id", "item_id"))

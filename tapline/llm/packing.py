@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapline.session import cut
+from tapline.session import cut, spread
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -58,7 +58,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(count, "doc_id bigint, tokens bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(count, "doc_id bigint, tokens bigint")
 
 
 class _Sizes:

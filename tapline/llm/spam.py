@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tapline.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[A-Za-z]+\b")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_])")
@@ -119,7 +121,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scored(documents: DataFrame) -> DataFrame:
     """(doc_id, share, peak) of every document."""
-    return documents.select("doc_id", "text").mapInArrow(_judge, "doc_id bigint, share double, peak double")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_judge, "doc_id bigint, share double, peak double")
 
 
 def spam_pages(documents: DataFrame, share: float = 0.5) -> DataFrame:
