@@ -15,6 +15,7 @@ from tapline.functions import evidence as ev
 from tapline.functions.names import canonical_name, looks_resolvable
 from tapline.operators import intervals
 from tapline.operators.carry import last_before, run_ordered
+from tapline.session import cut
 
 DELAY_NS = 5 * 10**9
 CANDIDATES = 8
@@ -85,9 +86,9 @@ def fallback_sequential(connections: DataFrame, transactions: DataFrame, address
     Runs of an issuer that lie more than the window apart cannot influence each other, so each run is a key of its
     own and a busy issuer is spread over its runs. The map's veto is attached to the connections beforehand.
     """
+    open_ = cut(_unresolved(transactions, addresses).select("issuer_ip", F.col("req_ts_ns").alias("t"), "tx_id", canonical_name(F.col("dns_name")).alias("name")))
     probes = without_direct_key(connections, transactions, addresses)
-    open_ = _unresolved(transactions, addresses).select("issuer_ip", F.col("req_ts_ns").alias("t"), "tx_id", canonical_name(F.col("dns_name")).alias("name"))
-    near = probes.select("conn_id", "issuer_ip", "dst_ip", F.col("ts_ns").alias("t"), "file_idx", "pkt_idx")
+    near = cut(probes.select("conn_id", "issuer_ip", "dst_ip", F.col("ts_ns").alias("t"), "file_idx", "pkt_idx"))
     # Names the map knows for the destination veto every other name; only transactions in the window matter.
     bucket = lambda c: F.floor(F.col(c) / F.lit(delay_ns))
     known = near.join(pairs.select(F.col("ip").alias("dst_ip")).distinct(), "dst_ip", "left_semi").withColumn("b", bucket("t"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tapline.functions.addresses import is_local
 from tapline.parsers import ftp
+from tapline.session import cut
 
 # TCP flags, FTP control ports, lowest port of passive data, lifetime of pairing state.
 SYN, RST, ACK = 2, 4, 16
@@ -125,7 +126,7 @@ def file_edges(packets: DataFrame, excluded: tuple[int, ...] = (), private_sourc
     answers, running = handshake_events(packets, excluded, ttl_ns), midsession_events(packets)
     if collapse_ftp:
         events = answers.withColumn("_how", F.lit(0)).unionByName(running.withColumn("_how", F.lit(1)), allowMissingColumns=True)
-        events = without_passive_range(without_announced(events, passive_ports(packets), ttl_ns))
+        events = cut(without_passive_range(cut(without_announced(events, passive_ports(packets), ttl_ns))))
         answers, running = events.filter("_how = 0").drop("_how"), events.filter("_how = 1").drop("_how", "cport")
     tcp = handshakes(packets, answers, excluded, ttl_ns).unionByName(_folded(running, "tcp"))
     tcp = tcp.groupBy("file_idx", *EDGE).agg(F.min("first_seen_ns").alias("first_seen_ns"))

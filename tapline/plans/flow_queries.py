@@ -87,7 +87,7 @@ def sni_dedup(spark, folder):
 def _linked(spark, folder):
     conns = R.edges(spark, folder).filter("issuer_ip is not null and dst_ip is not null").select(F.col("edge_ord").alias("conn_id"), "file_idx", F.col("edge_ord").alias("pkt_idx"), "issuer_ip", "dst_ip", "proto", "port", F.col("first_seen_ns").alias("ts_ns"))
     # As before the pass: no transaction has a port yet; a third of them lost their answers.
-    tx = R.transactions(spark, folder).withColumn("dest_port", F.lit(None).cast("int"))
+    tx = R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip dns_name name_evidence").withColumn("dest_port", F.lit(None).cast("int"))
     return conns, tx, R.transaction_addresses(spark, folder).filter("tx_id % 3 <> 0")
 
 
@@ -142,7 +142,7 @@ def radius_coalesce(spark, folder):
 
 
 def radius_label_lookup(spark, folder):
-    return radius.labels(R.transactions(spark, folder), _windows(spark, folder), "tx_id", F.col("issuer_ip"), F.floor(F.col("req_ts_ns") / F.lit(1_000_000)))
+    return radius.labels(R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip"), _windows(spark, folder), "tx_id", F.col("issuer_ip"), F.floor(F.col("req_ts_ns") / F.lit(1_000_000)))
 
 
 NAMES = """first_packet tcp_handshake_edges tcp_midsession_edges udp_pair_edges udp_private_source ftp_exact_suppress ftp_highport_suppress file_edges edge_cross_file_dedup edges_collected dns_query_response_match dns_answer_evidence

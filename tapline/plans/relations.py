@@ -10,9 +10,11 @@ from tapline.functions.names import canonical_name_trim_first
 from tapline.plans.tables import table
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "dns_tx").distinct().withColumns({"issuer_ip": plain_address(F.col("issuer_ip")), "resolver_ip": plain_address(F.col("resolver_ip"))})
-    return rows
+def transactions(spark: SparkSession, folder: str, columns: str = "") -> DataFrame:
+    """Transactions with the columns named (all without), which are all that is read and shuffled."""
+    rows = table(spark, folder, "dns_tx")
+    rows = (rows.select(*columns.split()) if columns else rows).distinct()
+    return rows.withColumns({c: plain_address(F.col(c)) for c in ("issuer_ip", "resolver_ip") if c in rows.columns})
 
 
 def transaction_addresses(spark: SparkSession, folder: str) -> DataFrame:

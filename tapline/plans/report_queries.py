@@ -13,8 +13,14 @@ from tapline.plans import topology_queries as T
 from tapline.plans.tables import table
 
 
-def _tx(spark, folder):
-    return R.transactions(spark, folder), R.transaction_addresses(spark, folder)
+def _tx(spark, folder, columns=""):
+    return R.transactions(spark, folder, columns), R.transaction_addresses(spark, folder)
+
+
+# Columns the reports read.
+WHO = "tx_id issuer_ip issuer_label dns_name dest_port"
+WHEN = "tx_id req_ts_ns issuer_ip dns_name pcap_file"
+BITS = "tx_id dns_name name_evidence"
 
 
 def _topo(spark, folder):
@@ -26,31 +32,31 @@ def records_dedup(spark, folder):
 
 
 def table_stats(spark, folder):
-    return reports.table_stats(*_tx(spark, folder))
+    return reports.table_stats(*_tx(spark, folder, f"{WHO} req_ts_ns"))
 
 
 def unused_dns(spark, folder):
-    return reports.unused_names(*_tx(spark, folder))
+    return reports.unused_names(*_tx(spark, folder, "tx_id dns_name dest_port issuer_ip pcap_file"))
 
 
 def unused_dns_files(spark, folder):
-    return reports.unused_name_files(R.transactions(spark, folder))
+    return reports.unused_name_files(R.transactions(spark, folder, f"{WHO} req_ts_ns pcap_file"))
 
 
 def issuer_profile(spark, folder):
-    return reports.issuer_profile(*_tx(spark, folder))
+    return reports.issuer_profile(*_tx(spark, folder, WHO))
 
 
 def connectivity_matrix(spark, folder):
-    return reports.connectivity(*_tx(spark, folder))
+    return reports.connectivity(*_tx(spark, folder, WHO))
 
 
 def connectivity_short(spark, folder):
-    return reports.connectivity_short(reports.connectivity(*_tx(spark, folder)))
+    return reports.connectivity_short(reports.connectivity(*_tx(spark, folder, WHO)))
 
 
 def unresolved_dns(spark, folder):
-    return reports.unresolved_names(*_tx(spark, folder))
+    return reports.unresolved_names(*_tx(spark, folder, WHEN))
 
 
 def unresolved_minus_topology(spark, folder):
@@ -105,7 +111,7 @@ def ipdns_normalize_multi(spark, folder):
 
 
 def learned_pairs(spark, folder):
-    return namemap.learned(table(spark, folder, "ip_dns"), *_tx(spark, folder))
+    return namemap.learned(table(spark, folder, "ip_dns"), *_tx(spark, folder, BITS))
 
 
 def append_audit(spark, folder):
@@ -117,7 +123,7 @@ def recover_pairs(spark, folder):
     """A day stands for a run here."""
     day = lambda c: F.floor(F.col(c) / F.lit(86_400_000_000_000)).alias("run")
     wanted = _topo(spark, folder).filter("dns_name = ''").select(day("observed_ns"), F.col("dst").alias("ip"))
-    tx, addresses = _tx(spark, folder)
+    tx, addresses = _tx(spark, folder, "tx_id req_ts_ns dns_name")
     rows = tx.join(addresses, "tx_id").select(day("req_ts_ns"), "ip", canonical_name(F.col("dns_name")).alias("dns"), ev.label(F.col("evidence")).alias("source"), (F.col("tx_id") * 16 + F.col("ord")).alias("seq"))
     return namemap.recovered(wanted, rows)
 

@@ -13,7 +13,7 @@ COLUMNS = ["issuer", "dst", "dns_name", "dns_source", "proto", "port", "observed
 
 
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
-    return R.edges(spark, folder), R.transactions(spark, folder), R.transaction_addresses(spark, folder), R.name_map(spark, folder)
+    return R.edges(spark, folder), R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip dns_name resolver_ip dest_port proto name_evidence"), R.transaction_addresses(spark, folder), R.name_map(spark, folder)
 
 
 def topology_asof(spark, folder):
