@@ -3,8 +3,8 @@
 A text is cut into units (lines, and sentences within a line). For every word the gaps to the previous and next
 occurrence of the same term are measured. Within a unit, terms that return within a short lag, measured over the
 content words only, tell unnaturally regular repetition from prose, where it is the function words that return;
-the autocorrelation of term positions, the share of words equal to the word ``lag`` places before, maximised over
-a window of lags, tells fixed patterns. Lists of many distinct nouns or links are told by having hardly any
+the autocorrelation of term positions, the share of words whose term was last seen exactly ``lag`` words before,
+maximised over a window of lags, tells fixed patterns and is given out with the score. Lists of many distinct nouns or links are told by having hardly any
 function words. Log excerpts, tables of connections and command lines are recognised by their form and never
 count. A document is reported if the greater part of its words stands in such units.
 
@@ -49,11 +49,19 @@ IP = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b")
 OPTION = re.compile(r"(?:^|\s)--?[a-z][a-z-]*(?:[ =]|$)")
 LAG = 40  # words within which a returning term counts as repetition in a list
 TIGHT = 8  # the same in sentences, where whole sentences may well return later
-PATTERN_LAGS = range(2, 25)
+MAX_LAG = 25  # lags over which the autocorrelation is maximised
 STEM = 7  # letters that variations of a keyword share
 UNIT = 40  # words after which a unit without a break is cut
 
 
+class _Numbers(dict):
+    """Numbers keys in order of first sight."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def units_of(text: str) -> Iterator[tuple[str, bool]]:
     """(unit, technical) in order."""
     fenced = False
@@ -87,12 +95,12 @@ def spam_share(text: str | None) -> tuple[float, float]:
     n = len(words)
     if not n:
         return 0.0, 0.0
-    seen: dict[str, int] = {}
-    code = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=n)
-    func = np.fromiter((t in FUNCTION for t in seen), dtype=bool, count=len(seen))[code]
-    number = np.fromiter((t.isdigit() for t in seen), dtype=bool, count=len(seen))[code]
-    stems: dict[str, int] = {}  # variations of a keyword, with a number or another word appended, are one term
-    code = np.fromiter((stems.setdefault(t.rstrip("0123456789")[:STEM] or t, len(stems)) for t in seen), dtype=np.int64, count=len(seen))[code]
+    seen, stems = _Numbers(), _Numbers()
+    code = np.array(list(map(seen.__getitem__, words)))
+    func = np.array(list(map(FUNCTION.__contains__, seen)))[code]
+    number = np.array(list(map(str.isdigit, seen)))[code]
+    # Variations of a keyword, with a number or another word appended, are one term.
+    code = np.array([stems[t.rstrip("0123456789")[:STEM] or t] for t in seen])[code]
     order = np.argsort(code, kind="stable")
     same = code[order][1:] == code[order][:-1]
     gap = np.where(same, order[1:] - order[:-1], n + LAG)
@@ -109,8 +117,8 @@ def spam_share(text: str | None) -> tuple[float, float]:
     listed = (share_f <= 0.08) & (r >= 0.3) | (share_f <= 0.16) & (r >= 0.55)
     dressed = (tight >= 0.5) & (c >= 3)
     hits = plain & (listed | dressed)
-    peak = max((float(np.mean(code[k:] == code[:-k])) for k in PATTERN_LAGS if k < n), default=0.0)
-    return float(size[hits].sum() / n), peak
+    at_lag = np.bincount(gap[gap < MAX_LAG], minlength=3)[2:]
+    return float(size[hits].sum() / n), float(at_lag.max() / n)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

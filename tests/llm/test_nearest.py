@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from tapline.llm import nearest
 
 
-def run(spark, left, right, tol):
+def run(spark, left, right, tol, **more):
     a = spark.createDataFrame(left, "lid bigint, who string, t bigint, bucket string, entity string")
     b = spark.createDataFrame(right, "rid bigint, who string, t bigint")
-    out = nearest.nearest(a, b, left_id="lid", left_entity=F.col("who"), left_time="t", right_id="rid", right_entity=F.col("who"), right_time="t", tolerance=tol)
+    out = nearest.nearest(a, b, left_id="lid", left_entity=F.col("who"), left_time="t", right_id="rid", right_entity=F.col("who"), right_time="t", tolerance=tol, **more)
     rows = [tuple(r) for r in out.collect()]
     assert len(rows) == len({r[0] for r in rows})
     return {r[0]: (r[1], r[2]) for r in rows}
@@ -38,5 +38,13 @@ def test_random(spark):
         assert run(spark, left, right, tol) == brute(left, right, tol)
 
 
+def test_hot_buckets_are_sliced(spark):
+    rng = random.Random(14)
+    for tol, span, hot in ((100, 400, 3), (1000, 700, 5), (7, 40, 1)):
+        left = [(i, rng.choice(["h", "h", "a"]), rng.randrange(-span, span), "", "") for i in range(160)]
+        right = [(i, rng.choice(["h", "h", "a"]), rng.randrange(-span, span)) for i in range(60)]
+        assert run(spark, left, right, tol, hot_rows=hot) == brute(left, right, tol)
+
+
 def test_empty(spark):
     assert run(spark, [(1, "a", 1, "", "")], [(1, "b", 1)], 5) == {}
