@@ -133,3 +133,23 @@ def observed(addresses: DataFrame, transactions: DataFrame, direct_matches: Data
     added = inferred.join(ips, "conn_id").join(transactions.select("tx_id", name.alias("n")), "tx_id").select("tx_id", "ip", F.lit(None).cast("int").alias("ord"), F.col("n").bitwiseOR(F.lit(ev.CONN | ev.OBSERVED)).alias("evidence"))
     rows = addresses.select("tx_id", "ip", "ord", "evidence").unionByName(mark).unionByName(added)
     return rows.groupBy("tx_id", "ip").agg(F.min("ord").alias("ord"), F.bit_or("evidence").alias("evidence"))
+
+
+def first_after(connections: DataFrame, transactions: DataFrame, addresses: DataFrame, chunk_ns: int = 3600 * 10**9) -> DataFrame:
+    """(tx_id, conn_id, port): the first connection strictly after a request to one of its addresses, however late.
+
+    Without a tolerance the next connection may be any time away, so what follows a chunk of time is carried back
+    by one row per chunk, and no task holds all rows of a pair.
+    """
+    key, cell = ["issuer_ip", "dst_ip"], ["issuer_ip", "dst_ip", "chunk"]
+    chunk = F.floor(F.col("t") / F.lit(chunk_ns)).alias("chunk")
+    facts = connections.filter("issuer_ip is not null and dst_ip is not null").select(*key, F.col("ts_ns").alias("t"), F.lit(None).cast("bigint").alias("tx_id"), F.struct(F.col("ts_ns").alias("t"), "conn_id", "port").alias("c"))
+    asked = transactions.filter("issuer_ip is not null").select("tx_id", "issuer_ip", F.col("req_ts_ns").alias("t")).join(addresses.select("tx_id", F.col("ip").alias("dst_ip")), "tx_id")
+    both = facts.unionByName(asked, allowMissingColumns=True).select("*", chunk)
+    later = Window.partitionBy(*key).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = both.groupBy(*cell).agg(F.min("c").alias("first")).select(*cell, F.last("first", ignorenulls=True).over(later).alias("carry"))
+    # Backwards in time, of equal times the request first, then connections from the largest number down.
+    inside = Window.partitionBy(*cell).orderBy(F.desc("t"), F.col("tx_id").isNull(), F.desc("c.conn_id")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("own", F.last("c", ignorenulls=True).over(inside)).filter("tx_id is not null").join(carry, cell)
+    best = found.groupBy("tx_id").agg(F.min(F.coalesce("own", "carry")).alias("b")).filter("b is not null")
+    return best.select("tx_id", "b.conn_id", "b.port")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapline.functions import evidence as ev
-from tapline.functions.addresses import canonical_ipv4, is_public
+from tapline.functions.addresses import BLANKS, canonical_ipv4, is_public
 from tapline.functions.hashing import fnv64
 from tapline.functions.names import canonical_name, name_suffix
 
@@ -117,6 +117,22 @@ def unresolved_names(transactions: DataFrame, addresses: DataFrame) -> DataFrame
     return rows.select(F.col("name").alias("dns_name"), F.col("who").alias("issuer_ip"), F.coalesce("f.pcap_file", F.lit("")).alias("first_pcap"))
 
 
+def unresolved_per_transaction(transactions: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(dns_name, issuer_ip, first_pcap) of transactions without address, whatever others of the name got."""
+    tx = transactions.withColumns({"name": F.regexp_replace(F.btrim("dns_name", F.lit(BLANKS)), r"\.$", ""), "who": F.coalesce("issuer_ip", F.lit(""))}).filter("name <> '' and pcap_file <> ''")
+    first = F.min(F.struct(_order().alias("o"), "pcap_file")).alias("f")
+    rows = tx.join(addresses.select("tx_id").distinct(), "tx_id", "left_anti").groupBy("name", "who").agg(first)
+    return rows.select(F.col("name").alias("dns_name"), F.col("who").alias("issuer_ip"), F.col("f.pcap_file").alias("first_pcap"))
+
+
+def name_evidence(transactions: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(name, ip, evidence, label): all that is known of a pair of name and address, with an observed contact added."""
+    rows = transactions.filter("dns_name <> ''").select("tx_id", canonical_name(F.col("dns_name")).alias("name"), F.coalesce("name_evidence", F.lit(0)).alias("n")).join(addresses.select("tx_id", "ip", F.coalesce("evidence", F.lit(0)).alias("e")), "tx_id")
+    rows = rows.groupBy("name", "ip").agg(F.bit_or(F.col("n").bitwiseOR(F.col("e"))).alias("bits")).withColumn("evidence", ev.normalised(F.col("bits")))
+    shown = F.when(F.col("evidence") != 0, ev.label(ev.normalised(F.col("evidence").bitwiseOR(F.lit(ev.OBSERVED))))).otherwise("")
+    return rows.select("name", "ip", "evidence", shown.alias("label"))
+
+
 def minus_topology(unresolved: DataFrame, rows: DataFrame) -> DataFrame:
     """Unresolved names that no topology row carries, whoever issued it."""
     named = rows.select(canonical_name(F.col("dns_name")).alias("dns_name")).filter("dns_name <> ''").distinct()

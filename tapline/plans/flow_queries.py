@@ -95,6 +95,10 @@ def conn_asof_direct(spark, folder):
     return correlate.direct(*_linked(spark, folder))
 
 
+def conn_first_after(spark, folder):
+    return correlate.first_after(*_linked(spark, folder))
+
+
 def conn_fallback_unique_snapshot(spark, folder):
     return correlate.fallback_snapshot(*_linked(spark, folder))
 
@@ -146,7 +150,7 @@ def radius_label_lookup(spark, folder):
 
 
 NAMES = """first_packet tcp_handshake_edges tcp_midsession_edges udp_pair_edges udp_private_source ftp_exact_suppress ftp_highport_suppress file_edges edge_cross_file_dedup edges_collected dns_query_response_match dns_answer_evidence
-dns_tx_merge sni_dedup conn_asof_direct conn_fallback_unique_snapshot conn_fallback_sequential csv_guard best_candidate observed_conn_evidence radius_dedup_ttl radius_sessions radius_coalesce radius_label_lookup"""
+dns_tx_merge sni_dedup conn_asof_direct conn_first_after conn_fallback_unique_snapshot conn_fallback_sequential csv_guard best_candidate observed_conn_evidence radius_dedup_ttl radius_sessions radius_coalesce radius_label_lookup"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _SYN = "tcp AS (SELECT * FROM packets WHERE l4 = 'tcp' AND src_port <> 0 AND dst_port <> 0), syn AS (SELECT * FROM tcp WHERE tcp_flags & 2 <> 0 AND tcp_flags & 16 = 0)"
@@ -216,6 +220,7 @@ SQL = {
   arg_min(resolver_ip, (pcap_file, tx_id)) FILTER (WHERE resolver_ip IS NOT NULL) AS resolver_ip, count(*) AS copies FROM tx GROUP BY issuer_ip, dns_name, proto, req_ts_ns""",
     "sni_dedup": f"WITH {D.HELLOS} SELECT issuer_ip, dst_ip, port, sni AS dns_name, ts_ns AS req_ts_ns, pcap_file, 2 AS name_evidence, 34 AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY issuer_ip, dst_ip, port, sni ORDER BY file_idx, pkt_idx) AS r FROM hellos) WHERE r = 1",
     "conn_asof_direct": f"WITH {_LINK} SELECT conn_id, tx_id, dt_ns FROM dr",
+    "conn_first_after": f"""WITH {_LINK} SELECT x.tx_id, arg_min(c.conn_id, (c.ts_ns, c.conn_id)) AS conn_id, arg_min(c.port, (c.ts_ns, c.conn_id)) AS port FROM ix x JOIN conns c ON c.issuer_ip = x.issuer_ip AND c.dst_ip = x.ip AND c.ts_ns > x.req_ts_ns GROUP BY x.tx_id""",
     "conn_fallback_unique_snapshot": f"WITH {_LINK} SELECT conn_id, tx_id, dt_ns FROM fb",
     "csv_guard": f"WITH {_LINK} SELECT conn_id, tx_id, dt_ns FROM gd",
     "best_candidate": f"""WITH {_LINK}, c AS (SELECT d.*, port, proto, row_number() OVER (PARTITION BY tx_id ORDER BY file_idx, pkt_idx, conn_id) AS r FROM dr d JOIN conns USING (conn_id))

@@ -6,8 +6,10 @@ share are cut, that is written to the shared folder, so nothing is computed twic
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,3 +191,20 @@ def recover(spark: SparkSession, root: str, out: str) -> int:
         for n, row in enumerate(text.rows(found), 1):
             f.write(f"{row.dns},{row.ip}\n")
     return n
+
+
+def run_days(spark: SparkSession, options: RunOptions, first: date, most: int = 366) -> list[RunFolder]:
+    """One run per day folder ``<read_dir>/<YYYY-MM-DD>`` from the first on, until a day has no captures.
+
+    Nothing is copied: the folders are read where they are, on any file system Spark knows.
+    """
+    done = []
+    for k in range(most):
+        day = (first + timedelta(days=k)).isoformat()
+        try:
+            packets = cut(pcap.read_captures(spark, f"{options.read_dir.rstrip('/')}/{day}"))
+        except (AnalysisException, FileNotFoundError):
+            break
+        one = replace(options, read_dir=f"{options.read_dir.rstrip('/')}/{day}")
+        done.append(write(build(spark, one, packets), one, RunFolder(one.net_id, f"{one.output_root}/{day}")))
+    return done

@@ -59,6 +59,14 @@ def unresolved_dns(spark, folder):
     return reports.unresolved_names(*_tx(spark, folder, WHEN))
 
 
+def unresolved_per_tx(spark, folder):
+    return reports.unresolved_per_transaction(*_tx(spark, folder, WHEN))
+
+
+def name_evidence_index(spark, folder):
+    return reports.name_evidence(*_tx(spark, folder, BITS))
+
+
 def unresolved_minus_topology(spark, folder):
     return reports.minus_topology(unresolved_dns(spark, folder), _topo(spark, folder))
 
@@ -128,7 +136,7 @@ def recover_pairs(spark, folder):
     return namemap.recovered(wanted, rows)
 
 
-NAMES = """records_dedup table_stats unused_dns unused_dns_files issuer_profile connectivity_matrix connectivity_short unresolved_dns unresolved_minus_topology service_endpoints attributed_endpoints
+NAMES = """records_dedup table_stats unused_dns unused_dns_files issuer_profile connectivity_matrix connectivity_short unresolved_dns unresolved_per_tx name_evidence_index unresolved_minus_topology service_endpoints attributed_endpoints
 external_endpoints egress_endpoints unresolved_ip ipdns_load ipdns_unambiguous ipdns_merge_new_pairs ipdns_merged ipdns_normalize_multi learned_pairs append_audit recover_pairs"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
@@ -176,6 +184,10 @@ SELECT w.issuer, count(*) AS total_dns, count(DISTINCT coalesce(dns_name, '')) A
     "connectivity_matrix": f"WITH {_B} SELECT DISTINCT {_WHO} AS issuer, coalesce(dns_name, '') AS dns_name, ip, dest_port AS port FROM tx JOIN tx_ip USING (tx_id) WHERE dest_port > 0 AND {_WHO} <> ''",
     "connectivity_short": f"WITH {_B} SELECT {_WHO} AS issuer, coalesce(dns_name, '') AS dns_name, min(ip) AS ip, dest_port AS port FROM tx JOIN tx_ip USING (tx_id) WHERE dest_port > 0 AND {_WHO} <> '' GROUP BY 1, 2, 4",
     "unresolved_dns": f"WITH {_B}, {_UNRES} SELECT dns_name, issuer_ip, first_pcap FROM u",
+    "unresolved_per_tx": f"""WITH {_B}, n AS (SELECT *, regexp_replace({S.trim('dns_name')}, '[.]$', '') AS name, coalesce(issuer_ip, '') AS who FROM tx WHERE tx_id NOT IN (SELECT tx_id FROM tx_ip) AND pcap_file <> '')
+SELECT name AS dns_name, who AS issuer_ip, arg_min(pcap_file, (req_ts_ns, coalesce(dns_name, ''), tx_id)) AS first_pcap FROM n WHERE name <> '' GROUP BY name, who""",
+    "name_evidence_index": f"""WITH {_B}, a AS (SELECT {S.name('dns_name')} AS name, ip, CAST(bit_or(coalesce(name_evidence, 0) | coalesce(evidence, 0)) AS INT) AS b FROM tx JOIN tx_ip USING (tx_id) WHERE dns_name <> '' GROUP BY 1, 2),
+c AS (SELECT name, ip, CASE WHEN b & 15 <> 0 THEN b & ~16 ELSE b END AS evidence FROM a) SELECT name, ip, evidence, CASE WHEN evidence <> 0 THEN {S.label('(evidence | 32)')} ELSE '' END AS label FROM c""",
     "unresolved_minus_topology": f"WITH {_B}, {_UNRES}, {_T} SELECT dns_name, issuer_ip, first_pcap FROM u WHERE dns_name NOT IN (SELECT {S.name('dns_name')} FROM t WHERE trim(dns_name) <> '')",
     "service_endpoints": f"WITH {_T}, {_endpoints('t')}",
     "attributed_endpoints": f"WITH {T.CHAIN}, {_endpoints('peer')}",

@@ -16,6 +16,8 @@ from typing import TextIO
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tapline.functions.addresses import ipv4_value
+
 
 def rows(df: DataFrame) -> Iterator[Row]:
     return df.toLocalIterator(prefetchPartitions=True)
@@ -161,3 +163,18 @@ def append_pairs(path: str, pairs: Iterable[Row]) -> int:
             f.write((("\n" if missing else "") + f"{p.dns},{p.ip}\n").encode())
             missing, n = False, n + 1
     return n
+
+
+def sorted_maps(pairs: DataFrame, by_name: TextIO, by_address: TextIO, ambiguous: TextIO) -> None:
+    """A map (ip, dns) in three orders: ``dns,ip`` lines, ``ip,dns`` lines by address, and the addresses with more
+    than one name as ``ip,count,a|b``."""
+    distinct = pairs.select("ip", "dns").distinct()
+    for row in rows(distinct.orderBy("dns", ipv4_value(F.col("ip")))):
+        by_name.write(f"{row.dns},{row.ip}\n")
+    for ip, group in groupby(rows(distinct.orderBy(ipv4_value(F.col("ip")), "dns")), key=lambda r: r.ip):
+        names = []
+        for row in group:
+            by_address.write(f"{ip},{row.dns}\n")
+            names.append(row.dns)
+        if len(names) > 1:
+            ambiguous.write(f"{ip},{len(names)},{'|'.join(names)}\n")

@@ -1,9 +1,12 @@
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
 from tapline.functions import addresses, evidence, hashing, names, subscribers
 from tapline.operators import namemap, reports
 from tapline.parsers import ftp
+from tapline.sinks import text
 
 CASES = [
     (names.canonical_name, {"A.Example.": "a.example", " x ": "x", "x. ": "x.", "x..": "x.", "": "", None: None}),
@@ -95,3 +98,11 @@ def test_map_lines(spark):
     lines = ["# c", "", "A.example,1.2.3.4", "1.2.3.4 b.example extra", "1.2.3.4\tA.Example.", "5.6.7.8,9.9.9.9", "x,y", "only", "c.example , 1.2.3.5,junk", "::1,v6.example", "1.2.3.6,"]
     df = spark.createDataFrame(list(enumerate(lines)), "n bigint, line string")
     assert {tuple(r) for r in namemap.load(df, F.col("n")).collect()} == {("1.2.3.4", "a.example", 2), ("1.2.3.4", "b.example", 3), ("5.6.7.8", "9.9.9.9", 5), ("1.2.3.5", "c.example", 8)}
+
+
+def test_sorted_maps(spark):
+    df = spark.createDataFrame([("10.0.0.10", "b.x"), ("9.0.0.1", "a.x"), ("10.0.0.9", "b.x"), ("10.0.0.9", "a.x"), ("10.0.0.9", "a.x")], "ip string, dns string")
+    a, b, c = io.StringIO(), io.StringIO(), io.StringIO()
+    text.sorted_maps(df, a, b, c)
+    assert a.getvalue() == "a.x,9.0.0.1\na.x,10.0.0.9\nb.x,10.0.0.9\nb.x,10.0.0.10\n"
+    assert b.getvalue() == "9.0.0.1,a.x\n10.0.0.9,a.x\n10.0.0.9,b.x\n10.0.0.10,b.x\n" and c.getvalue() == "10.0.0.9,2,a.x|b.x\n"

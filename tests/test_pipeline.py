@@ -1,4 +1,5 @@
 import json
+from datetime import date
 
 import pytest
 
@@ -112,3 +113,11 @@ def test_hook_failure(spark, tmp_path):
         f.run_hooks(("false",), tmp_path / "m")
     with pytest.raises(FileExistsError):
         RunFolder("n", str(tmp_path), f.started)
+
+
+def test_days(spark, folder, tmp_path):
+    for day in ("2024-02-28", "2024-02-29", "2024-03-02"):
+        (tmp_path / "in" / day).mkdir(parents=True)
+        (tmp_path / "in" / day / "a.pcap").write_bytes((folder / "a.pcap").read_bytes())
+    done = pipeline.run_days(spark, RunOptions(str(tmp_path / "in"), "n", output_root=str(tmp_path / "out")), date(2024, 2, 28))
+    assert [d.root.name for d in done] == ["2024-02-28", "2024-02-29"]
