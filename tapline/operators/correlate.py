@@ -72,7 +72,7 @@ class _Infer:
             self.open[row["tx_id"]] = t
             return []
         fit = list(self.open)
-        if len(fit) != 1 or fit[0] in row["barred"]:
+        if len(fit) != 1 or row["known"] and fit[0] not in row["allowed"]:
             return []
         return [(row["conn_id"], fit[0], t - self.open.pop(fit[0]))]
 
@@ -89,18 +89,20 @@ def fallback_sequential(connections: DataFrame, transactions: DataFrame, address
     open_ = cut(_unresolved(transactions, addresses).select("issuer_ip", F.col("req_ts_ns").alias("t"), "tx_id", canonical_name(F.col("dns_name")).alias("name")))
     probes = without_direct_key(connections, transactions, addresses)
     near = cut(probes.select("conn_id", "issuer_ip", "dst_ip", F.col("ts_ns").alias("t"), "file_idx", "pkt_idx"))
-    # Names the map knows for the destination veto every other name; only transactions in the window matter.
+    # Where the map has names for the destination, only transactions of those names will do. Few are, so they are
+    # found from the names: by name to the addresses connected to, then to connections of the issuer in the window.
     bucket = lambda c: F.floor(F.col(c) / F.lit(delay_ns))
-    known = near.join(pairs.select(F.col("ip").alias("dst_ip")).distinct(), "dst_ip", "left_semi").withColumn("b", bucket("t"))
-    around = open_.withColumn("b", F.explode(F.array(bucket("t"), bucket("t") + 1))).select("issuer_ip", "b", "tx_id", "name")
-    allowed = pairs.select(F.col("ip").alias("dst_ip"), canonical_name(F.col("dns")).alias("name"))
-    barred = known.join(around, ["issuer_ip", "b"]).join(allowed, ["dst_ip", "name"], "left_anti").groupBy("conn_id").agg(F.collect_set("tx_id").alias("barred"))  # of one connection: its window
-    near = near.join(barred, "conn_id", "left").withColumn("barred", F.coalesce("barred", F.array().cast("array<bigint>")))
-    rows = open_.select("issuer_ip", "t", "tx_id").unionByName(near.select("issuer_ip", "t", "conn_id", "file_idx", "pkt_idx", "barred"), allowMissingColumns=True)
+    named = pairs.select(F.col("ip").alias("dst_ip"), canonical_name(F.col("dns")).alias("name")).filter("name <> ''").distinct()
+    named = cut(named.join(near.select("dst_ip").distinct(), "dst_ip", "left_semi"))
+    around = open_.withColumn("b", F.explode(F.array(bucket("t"), bucket("t") + 1))).join(named, "name").select("issuer_ip", "b", "dst_ip", "tx_id")
+    allowed = near.withColumn("b", bucket("t")).join(around, ["issuer_ip", "b", "dst_ip"]).groupBy("conn_id").agg(F.collect_set("tx_id").alias("allowed"))
+    near = near.join(named.select("dst_ip").distinct().withColumn("known", F.lit(True)), "dst_ip", "left").join(allowed, "conn_id", "left")
+    near = near.withColumns({"known": F.coalesce("known", F.lit(False)), "allowed": F.coalesce("allowed", F.array().cast("array<bigint>"))})
+    rows = open_.select("issuer_ip", "t", "tx_id").unionByName(near.select("issuer_ip", "t", "conn_id", "file_idx", "pkt_idx", "known", "allowed"), allowMissingColumns=True)
     runs = intervals.marked(rows.select(F.col("issuer_ip").alias("entity"), F.col("t").alias("start"), (F.col("t") + delay_ns).alias("end")), chunk=delay_ns * 720)
     rows = rows.join(runs.select(F.col("entity").alias("issuer_ip"), F.col("start").alias("t"), "island"), ["issuer_ip", "t"])
     out = pa.schema([("conn_id", pa.int64()), ("tx_id", pa.int64()), ("dt_ns", pa.int64())])
-    columns = ["issuer_ip", "island", "t", "tx_id", "conn_id", "file_idx", "pkt_idx", "barred"]
+    columns = ["issuer_ip", "island", "t", "tx_id", "conn_id", "file_idx", "pkt_idx", "known", "allowed"]
     order = ["t", F.col("conn_id").isNotNull(), "file_idx", "pkt_idx", "tx_id"]
     return run_ordered(rows.select(*columns), ["issuer_ip", "island"], order, lambda: _Infer(delay_ns), "conn_id bigint, tx_id bigint, dt_ns bigint", out)
 
