@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapline.functions.numbers import floor_div
 from tapline.session import task_count
 
 BUCKET_MS = 6 * 3600 * 1000
@@ -101,7 +102,7 @@ def as_known(
     first = low // bucket
     levels = max(1, math.ceil(math.log2(high // bucket - first + 1)) + 1)
     tasks = task_count(events, n, task_rows)
-    e = e.distinct().withColumn("bucket", F.floor(F.col("t") / F.lit(bucket)) - F.lit(first))
+    e = e.distinct().withColumn("bucket", floor_div(F.col("t"), bucket) - F.lit(first))
 
     opened = F.when(F.col(end).isNull() | (F.col(end) == 0), F.lit(HIGH)).otherwise(F.col(end).cast("bigint"))
     begun, recorded = F.col(start).cast("bigint"), F.coalesce(F.col(known), F.col(start)).cast("bigint")
@@ -110,17 +111,17 @@ def as_known(
     v = v.select(F.col(version_id).cast("bigint").alias("version_id"), version_entity.alias("entity"), opened.alias("until"), F.greatest(begun, recorded).alias("since"), first_choice.alias("first"), second_choice.alias("second"))
     v = v.filter("entity is not null")
     v = v.filter((F.col("since") <= F.col("until")) & (F.col("since") <= F.lit(high)) & (F.col("until") >= F.lit(low)))
-    inside = lambda c: F.floor(F.least(F.greatest(c, F.lit(low)), F.lit(high)) / F.lit(bucket)) - F.lit(first)
+    inside = lambda c: floor_div(F.least(F.greatest(c, F.lit(low)), F.lit(high)), bucket) - F.lit(first)
     v = v.withColumns({"b1": inside(F.col("since")), "b2": inside(F.col("until"))})
 
     cells = e.groupBy("entity", "bucket").agg(F.count(F.lit(1)).alias("n"))
     nodes = v.filter("b2 - b1 > 1").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     width = F.expr("shiftleft(1L, level)")
-    nodes = nodes.withColumns({"l": F.floor((F.col("b1") + width) / width), "r": F.floor(F.col("b2") / width)}).filter("l < r")
+    nodes = nodes.withColumns({"l": floor_div(F.col("b1") + width, width), "r": floor_div(F.col("b2"), width)}).filter("l < r")
     nodes = nodes.withColumn("node", F.explode(F.filter(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)), lambda x: x.isNotNull())))
     best = F.max(F.struct("first", "second", "version_id")).alias("best")
     nodes = nodes.groupBy("entity", "level", "node").agg(best)
-    up = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.floor(F.col("bucket") / width))
+    up = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", floor_div(F.col("bucket"), width))
     covers = up.join(nodes, ["entity", "level", "node"]).groupBy("entity", "bucket").agg(F.max("best").alias("best"))
     covers = covers.select("entity", "bucket", F.lit(0).cast("bigint").alias("since"), F.lit(bucket - 1).cast("bigint").alias("until"), "best.first", "best.second", "best.version_id")
     begin = (F.col("bucket") + F.lit(first)) * F.lit(bucket)

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapline.functions.numbers import floor_div
+
 
 def last_before(probes: DataFrame, facts: DataFrame, keys: list[str], tolerance: int, strict: bool) -> DataFrame:
     """Adds ``fact_id`` and ``fact_t`` to the probes (keys, t, and anything else); both null where there is none.
 
     Facts have keys, t and id. With ``strict`` a fact at the very time of the probe does not count.
     """
-    whole = F.floor(F.col("t") / F.lit(tolerance))
+    whole = floor_div(F.col("t"), tolerance)
     have = " and ".join(f"{k} is not null" for k in [*keys, "t"])
     p = probes.withColumn("_b", whole).withColumn("_kind", F.lit(0 if strict else 2))
     f = facts.filter(have).select(*keys, "t", "id", whole.alias("_b"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tapline.functions import evidence as ev
 from tapline.functions.names import canonical_name, looks_resolvable
+from tapline.functions.numbers import floor_div
 from tapline.operators import intervals
 from tapline.operators.carry import last_before, run_ordered
 from tapline.session import cut
@@ -49,7 +50,7 @@ def fallback_snapshot(connections: DataFrame, transactions: DataFrame, addresses
     Eligibility is that before the pass. Each transaction carries the time of the one before it, so that "exactly
     one" is told from the last one alone.
     """
-    facts = _unresolved(transactions, addresses).select("issuer_ip", F.col("req_ts_ns").alias("t"), F.col("tx_id").alias("id"), F.floor(F.col("req_ts_ns") / F.lit(delay_ns)).alias("b"))
+    facts = _unresolved(transactions, addresses).select("issuer_ip", F.col("req_ts_ns").alias("t"), F.col("tx_id").alias("id"), floor_div(F.col("req_ts_ns"), delay_ns).alias("b"))
     cell = Window.partitionBy("issuer_ip", "b").orderBy("t", F.desc("id"))
     ends = facts.groupBy("issuer_ip", "b").agg(F.max("t").alias("end")).withColumn("b", F.col("b") + 1)
     facts = facts.withColumn("prev", F.lag("t").over(cell)).join(ends, ["issuer_ip", "b"], "left").withColumn("prev", F.coalesce("prev", "end"))
@@ -91,7 +92,7 @@ def fallback_sequential(connections: DataFrame, transactions: DataFrame, address
     near = cut(probes.select("conn_id", "issuer_ip", "dst_ip", F.col("ts_ns").alias("t"), "file_idx", "pkt_idx"))
     # Where the map has names for the destination, only transactions of those names will do. Few are, so they are
     # found from the names: by name to the addresses connected to, then to connections of the issuer in the window.
-    bucket = lambda c: F.floor(F.col(c) / F.lit(delay_ns))
+    bucket = lambda c: floor_div(F.col(c), delay_ns)
     named = pairs.select(F.col("ip").alias("dst_ip"), canonical_name(F.col("dns")).alias("name")).filter("name <> ''").distinct()
     named = cut(named.join(near.select("dst_ip").distinct(), "dst_ip", "left_semi"))
     around = open_.withColumn("b", F.explode(F.array(bucket("t"), bucket("t") + 1))).join(named, "name").select("issuer_ip", "b", "dst_ip", "tx_id")
@@ -144,7 +145,7 @@ def first_after(connections: DataFrame, transactions: DataFrame, addresses: Data
     by one row per chunk, and no task holds all rows of a pair.
     """
     key, cell = ["issuer_ip", "dst_ip"], ["issuer_ip", "dst_ip", "chunk"]
-    chunk = F.floor(F.col("t") / F.lit(chunk_ns)).alias("chunk")
+    chunk = floor_div(F.col("t"), chunk_ns).alias("chunk")
     facts = connections.filter("issuer_ip is not null and dst_ip is not null").select(*key, F.col("ts_ns").alias("t"), F.lit(None).cast("bigint").alias("tx_id"), F.struct(F.col("ts_ns").alias("t"), "conn_id", "port").alias("c"))
     asked = transactions.filter("issuer_ip is not null").select("tx_id", "issuer_ip", F.col("req_ts_ns").alias("t")).join(addresses.select("tx_id", F.col("ip").alias("dst_ip")), "tx_id")
     both = facts.unionByName(asked, allowMissingColumns=True).select("*", chunk)

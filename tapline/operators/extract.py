@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapline.functions.numbers import floor_div
 from tapline.operators import radius as sessions
 from tapline.parsers import dns, radius, tls
 
@@ -76,6 +77,6 @@ def accounting(packets: DataFrame) -> DataFrame:
 
 def deduplicated_accounting(packets: DataFrame) -> DataFrame:
     """(imsi, ip, sid, ts_ms, sess_time_sec, status) without retransmissions."""
-    rows = accounting(packets).withColumns({"row": F.col("file_idx").cast("bigint") * F.lit(1 << 40) + F.col("pkt_idx"), "ts_ms": F.floor(F.col("ts_ns") / F.lit(1_000_000))})
+    rows = accounting(packets).withColumns({"row": F.col("file_idx").cast("bigint") * F.lit(1 << 40) + F.col("pkt_idx"), "ts_ms": floor_div(F.col("ts_ns"), 1_000_000)})
     kept = sessions.first_in_window(rows, F.col("dedup_key"), F.col("ts_ms"), "row")
     return rows.join(kept, "row", "left_semi").select("imsi", "ip", "sid", "ts_ms", "sess_time_sec", "status")

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapline.functions.numbers import floor_div
+
 FOREVER = 2**63 - 1
 CHUNK_MS = 6 * 3600 * 1000
 
@@ -29,7 +31,7 @@ def usable(windows: DataFrame, entity: str, start: str, end: str) -> DataFrame:
 def marked(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
     """One row per (entity, start) with the greatest ``end`` from there, ``before``, the greatest end of all
     earlier starts (null for the first), and ``island``, the period's number within the entity from 1 on."""
-    cells = rows.withColumn("chunk", F.floor(F.col("start") / F.lit(chunk))).repartition("entity", "chunk")
+    cells = rows.withColumn("chunk", floor_div(F.col("start"), chunk)).repartition("entity", "chunk")
     cells = cells.groupBy("entity", "chunk", "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
     inside = Window.partitionBy("entity", "chunk").orderBy("start")
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -44,7 +46,7 @@ def marked(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
 
 def gaps(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
     """(entity, gap_start, gap_end): from the greatest end so far to the next start after it."""
-    cells = rows.withColumn("chunk", F.floor(F.col("start") / F.lit(chunk))).repartition("entity", "chunk")
+    cells = rows.withColumn("chunk", floor_div(F.col("start"), chunk)).repartition("entity", "chunk")
     past = Window.partitionBy("entity", "chunk").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     chunks = Window.partitionBy("entity").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.groupBy("entity", "chunk", "start").agg(F.max("end").alias("end"))

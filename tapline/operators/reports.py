@@ -18,6 +18,7 @@ from tapline.functions import evidence as ev
 from tapline.functions.addresses import BLANKS, canonical_ipv4, is_public
 from tapline.functions.hashing import fnv64
 from tapline.functions.names import canonical_name, name_suffix
+from tapline.functions.numbers import floor_div
 
 # Names of endpoints that have none.
 NO_ATTRIBUTION, PRIVATE_SERVER = "[no-dns-attribution]", "[private-server]"
@@ -35,13 +36,13 @@ def _order() -> Column:
 
 def milliseconds(ns: Column) -> Column:
     """UTC time as text with milliseconds."""
-    whole = F.floor(ns / F.lit(1_000_000_000))
-    return F.concat(F.date_format(F.timestamp_seconds(whole), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad(F.floor(F.pmod(ns, F.lit(1_000_000_000)) / F.lit(1_000_000)).cast("string"), 3, "0"))
+    whole = floor_div(ns, 1_000_000_000)
+    return F.concat(F.date_format(F.timestamp_seconds(whole), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad(floor_div(F.pmod(ns, F.lit(1_000_000_000)), 1_000_000).cast("string"), 3, "0"))
 
 
 def nanoseconds(ns: Column) -> Column:
     """UTC time as text with nine digits and a Z, null where there is no time."""
-    whole = F.floor(ns / F.lit(1_000_000_000))
+    whole = floor_div(ns, 1_000_000_000)
     return F.concat(F.date_format(F.timestamp_seconds(whole), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad(F.pmod(ns, F.lit(1_000_000_000)).cast("string"), 9, "0"), F.lit("Z"))
 
 
@@ -156,7 +157,7 @@ def service_endpoints(rows: DataFrame) -> DataFrame:
     Rows without a name make a synthetic endpoint, but only where the contact has no named one. Issuers are
     counted after they were folded to one row each, so a busy endpoint is counted by many tasks.
     """
-    slim = rows.select(canonical_ipv4(F.col("dst")).alias("ip"), canonical_name(F.col("dns_name")).alias("dns"), F.lower(F.trim("proto")).alias("protocol"), "port", canonical_ipv4(F.col("issuer")).alias("issuer"), F.floor(F.col("observed_ns") / F.lit(1_000_000)).alias("ms"))
+    slim = rows.select(canonical_ipv4(F.col("dst")).alias("ip"), canonical_name(F.col("dns_name")).alias("dns"), F.lower(F.trim("proto")).alias("protocol"), "port", canonical_ipv4(F.col("issuer")).alias("issuer"), floor_div(F.col("observed_ns"), 1_000_000).alias("ms"))
     slim = slim.filter("ip is not null and protocol <> '' and port <> 0").withColumn("dns", F.coalesce("dns", F.lit("")))
     key = ["ip", "protocol", "port", "dns"]
     per = slim.groupBy(*key, "issuer").agg(F.min(F.when(F.col("ms") > 0, F.col("ms"))).alias("ms"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tapline.functions import evidence as ev
 from tapline.functions.addresses import is_ipv4, is_rfc1918
 from tapline.functions.names import canonical_name, canonical_name_trim_first
+from tapline.functions.numbers import floor_div
 from tapline.session import cut
 
 # Ports of name resolution itself, and the labels rules compare with.
@@ -48,8 +49,8 @@ def _with_best(edges: DataFrame, transactions: DataFrame, addresses: DataFrame,
     columns = edges.columns
     on = (F.col("issuer_ip") == F.col("tx_issuer")) & (F.col("dst_ip") == F.col("tx_ip")) & (F.col("req_ts_ns") <= F.col("first_seen_ns"))
     if max_age_ns > 0:
-        edges = edges.withColumn("bucket", F.floor(F.col("first_seen_ns") / F.lit(max_age_ns)))
-        own = F.floor(F.col("req_ts_ns") / F.lit(max_age_ns))
+        edges = edges.withColumn("bucket", floor_div(F.col("first_seen_ns"), max_age_ns))
+        own = floor_div(F.col("req_ts_ns"), max_age_ns)
         tx = tx.withColumn("tx_bucket", F.explode(F.array(own, own + 1)))
         on = on & (F.col("bucket") == F.col("tx_bucket")) & (F.col("req_ts_ns") >= F.col("first_seen_ns") - max_age_ns)
     on = on & (F.col("tx_proto").isNull() | (F.col("tx_proto") == F.lower("proto"))) & (F.col("tx_port").isNull() | (F.col("tx_port") == F.col("port")))

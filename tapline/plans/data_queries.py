@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.functions.addresses import plain_address
+from tapline.functions.numbers import floor_div
 from tapline.functions.subscribers import imsi15, same_sid
 from tapline.operators import asof, badlines, intervals, messages
 from tapline.plans.tables import table
@@ -37,7 +38,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = asof.as_known(
         table(spark, folder, "dns_tx"),
         table(spark, folder, "radius_sessions").filter(imsi15(F.col("imsi")).isNotNull()),
-        event_id="tx_id", event_entity=plain_address(F.col("issuer_ip")), event_time=F.floor(F.col("req_ts_ns") / F.lit(1_000_000)),
+        event_id="tx_id", event_entity=plain_address(F.col("issuer_ip")), event_time=floor_div(F.col("req_ts_ns"), 1_000_000),
         version_id="session_row", version_entity=plain_address(F.col("ip")), start="start_ms", end="end_ms", known="known_ms",
     )
     return found.select(F.col("event_id").alias("tx_id"), F.col("version_id").alias("session_row"))

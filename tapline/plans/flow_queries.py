@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapline.functions.addresses import plain_address
+from tapline.functions.numbers import floor_div
 from tapline.functions.subscribers import imsi15
 from tapline.operators import correlate, edges, radius, reports, transactions
 from tapline.plans import derived as D
@@ -146,7 +147,7 @@ def radius_coalesce(spark, folder):
 
 
 def radius_label_lookup(spark, folder):
-    return radius.labels(R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip"), _windows(spark, folder), "tx_id", F.col("issuer_ip"), F.floor(F.col("req_ts_ns") / F.lit(1_000_000)))
+    return radius.labels(R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip"), _windows(spark, folder), "tx_id", F.col("issuer_ip"), floor_div(F.col("req_ts_ns"), 1_000_000))
 
 
 NAMES = """first_packet tcp_handshake_edges tcp_midsession_edges udp_pair_edges udp_private_source ftp_exact_suppress ftp_highport_suppress file_edges edge_cross_file_dedup edges_collected dns_query_response_match dns_answer_evidence

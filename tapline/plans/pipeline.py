@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.functions import evidence as ev
+from tapline.functions.numbers import floor_div
 from tapline.operators import correlate, edges, extract, namemap, radius, reports, resolve, topology, transactions
 from tapline.options import RunOptions
 from tapline.session import cut
@@ -112,9 +113,9 @@ def build(spark: SparkSession, options: RunOptions, packets: DataFrame | None =
     tx, ips, found = cut(tx), cut(ips), cut(found)
     if options.radius_imsi:
         windows = cut(radius.coalesced(radius.sessions(extract.deduplicated_accounting(packets))))
-        named = radius.labels(tx, windows, "tx_id", F.col("issuer_ip"), F.floor(F.col("req_ts_ns") / F.lit(1_000_000)))
+        named = radius.labels(tx, windows, "tx_id", F.col("issuer_ip"), floor_div(F.col("req_ts_ns"), 1_000_000))
         tx = cut(tx.drop("issuer_label").join(named.withColumnRenamed("imsi", "issuer_label"), "tx_id", "left"))
-        named = radius.labels(found, windows, "edge_ord", F.col("issuer_ip"), F.floor(F.col("first_seen_ns") / F.lit(1_000_000)))
+        named = radius.labels(found, windows, "edge_ord", F.col("issuer_ip"), floor_div(F.col("first_seen_ns"), 1_000_000))
         found = cut(found.drop("label").join(named.withColumnRenamed("imsi", "label"), "edge_ord", "left"))
     learned = cut(namemap.learned(pairs, tx, ips)) if options.dns_ip_file else spark.createDataFrame([], EMPTY_PAIRS)
     matrix = cut(topology.matrix(found, tx, ips, pairs.unionByName(learned.select("ip", "dns")), options.topology_window_ns, label=F.col("label")))

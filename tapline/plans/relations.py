@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapline.functions.addresses import canonical_ipv4, plain_address
 from tapline.functions.names import canonical_name_trim_first
+from tapline.functions.numbers import floor_div
 from tapline.plans.tables import table
 
 
@@ -25,7 +26,7 @@ def transaction_addresses(spark: SparkSession, folder: str) -> DataFrame:
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "topology").select("row_ord", "issuer_ip", "destination_ip", "protocol", "port", "observed_ns").distinct()
     return rows.select(
-        F.col("row_ord").alias("edge_ord"), F.floor(F.col("row_ord") / 400).cast("int").alias("file_idx"), plain_address(F.col("issuer_ip")).alias("issuer_ip"), canonical_ipv4(F.col("destination_ip")).alias("dst_ip"),
+        F.col("row_ord").alias("edge_ord"), floor_div(F.col("row_ord"), 400).cast("int").alias("file_idx"), plain_address(F.col("issuer_ip")).alias("issuer_ip"), canonical_ipv4(F.col("destination_ip")).alias("dst_ip"),
         F.lower("protocol").alias("proto"), "port", F.col("observed_ns").alias("first_seen_ns"),
     )
 

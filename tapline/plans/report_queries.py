@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapline.functions import evidence as ev
 from tapline.functions.names import canonical_name
+from tapline.functions.numbers import floor_div
 from tapline.operators import namemap, reports, topology
 from tapline.plans import relations as R
 from tapline.plans import sqltext as S
@@ -129,7 +130,7 @@ def append_audit(spark, folder):
 
 def recover_pairs(spark, folder):
     """A day stands for a run here."""
-    day = lambda c: F.floor(F.col(c) / F.lit(86_400_000_000_000)).alias("run")
+    day = lambda c: floor_div(F.col(c), 86_400_000_000_000).alias("run")
     wanted = _topo(spark, folder).filter("dns_name = ''").select(day("observed_ns"), F.col("dst").alias("ip"))
     tx, addresses = _tx(spark, folder, "tx_id req_ts_ns dns_name")
     rows = tx.join(addresses, "tx_id").select(day("req_ts_ns"), "ip", canonical_name(F.col("dns_name")).alias("dns"), ev.label(F.col("evidence")).alias("source"), (F.col("tx_id") * 16 + F.col("ord")).alias("seq"))

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapline.functions.numbers import floor_div
 from tapline.operators import edges
 from tapline.operators.radius import INTERIM, JOIN_MS, REPEAT_MS, START, STOP, _Sessions
 
 
 def _timed(df: DataFrame, ns: str, late: str) -> DataFrame:
-    return df.withColumn("at", F.timestamp_micros(F.floor(F.col(ns) / F.lit(1000)))).withWatermark("at", late)
+    return df.withColumn("at", F.timestamp_micros(floor_div(F.col(ns), 1000))).withWatermark("at", late)
 
 
 def handshake_edges(packets: DataFrame, ttl_s: int = 30, late: str = "10 seconds") -> DataFrame:

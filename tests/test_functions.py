@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapline.functions import addresses, evidence, hashing, names, subscribers
+from tapline.functions.numbers import floor_div
 from tapline.operators import namemap, reports
 from tapline.parsers import ftp
 from tapline.sinks import text
@@ -106,3 +107,9 @@ def test_sorted_maps(spark):
     text.sorted_maps(df, a, b, c)
     assert a.getvalue() == "a.x,9.0.0.1\na.x,10.0.0.9\nb.x,10.0.0.9\nb.x,10.0.0.10\n"
     assert b.getvalue() == "9.0.0.1,a.x\n10.0.0.9,a.x\n10.0.0.9,b.x\n10.0.0.10,b.x\n" and c.getvalue() == "10.0.0.9,2,a.x|b.x\n"
+
+
+def test_floor_div_is_exact(spark):
+    values = [1740960099809999999, 1740960099810000000, -1, -1_000_000, -1_000_001, 0, 999_999, 2**62, None]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    assert [r[0] for r in df.select(floor_div(F.col("v"), 1_000_000)).collect()] == [None if v is None else v // 1_000_000 for v in values]
