@@ -52,6 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of working data, on whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def task_count(df: DataFrame, rows: int, rows_per_task: int) -> int:
     """Shuffle partitions for ``rows`` rows: as many as the session asks for, more where a task would get too much."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

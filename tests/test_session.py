@@ -45,3 +45,10 @@ def test_task_count_and_spread(spark):
 
 def test_cut_keeps_rows(spark):
     assert sorted(r.id for r in session.cut(spark.range(10)).collect()) == list(range(10))
+
+
+def test_remove(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    session.remove(spark, f"file:{tmp_path}/t")
+    assert not (tmp_path / "t").exists()
+    session.remove(spark, f"file:{tmp_path}/t")
