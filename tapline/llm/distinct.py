@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapline.functions.numbers import floor_div
 from tapline.session import cut, task_count
 
 WORD_BITS = 64
@@ -45,8 +46,8 @@ def dictionary(ids: DataFrame, known: DataFrame | None = None, buckets: int = BU
     start = 0
     if known is not None:
         new = new.join(known.select("id"), "id", "left_anti")
-        start = (known.agg(F.max("code")).first()[0] if known is not None else None) or 0
-        start = start + 1 if known.limit(1).count() else 0
+        top = known.agg(F.max("code")).first()[0]
+        start = 0 if top is None else top + 1
     new = cut(new.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))))
     sizes = new.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over `buckets` rows
@@ -61,7 +62,7 @@ def words(rows: DataFrame, by: list[str], ident: str, codes: DataFrame) -> DataF
     slim = rows.select(*by, F.col(ident).alias("id")).filter("id is not null").distinct()
     coded = slim.join(codes, "id")
     bit = F.expr(f"shiftleft(1L, cast(code % {WORD_BITS} as int))")
-    return coded.withColumn("word", F.floor(F.col("code") / WORD_BITS)).groupBy(*by, "word").agg(F.bit_or(bit).alias("bits"))
+    return coded.withColumn("word", floor_div(F.col("code"), WORD_BITS)).groupBy(*by, "word").agg(F.bit_or(bit).alias("bits"))
 
 
 def merged(partials: DataFrame, by: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.functions.addresses import BLANKS, plain_address
-from tapline.session import cut, shared_folder
+from tapline.session import cut, remove, shared_folder
 
 DISTANCE = 2
 BUCKETS = 24
@@ -144,6 +144,12 @@ class AcceptedPairs:
         fresh = cut(rest.join(near, "ord", "left_anti"))
         self.append(cut(fresh.join(_decided(fresh), "ord", "left_anti")))
 
+    def drop(self) -> None:
+        """Remove the tables and their files."""
+        for what in ("whole", "part"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{what}")
+        remove(self.spark, self.folder)
+
     def accept_all(self, history: DataFrame) -> None:
         """Accept pairs unseen, the history a run starts with."""
         self.append(cut(_folded(normalised(history))))
@@ -160,4 +166,6 @@ def near_known(pairs: DataFrame) -> DataFrame:
     for (batch,) in pairs.filter("batch_no > 0").select("batch_no").distinct().orderBy("batch_no").collect():
         index.take(pairs.filter(F.col("batch_no") == batch))
     later = pairs.filter("batch_no > 0 and ip is not null and dns is not null").select("ord")
-    return later.join(index.table("whole").select("ord"), "ord", "left_anti")
+    found = cut(later.join(index.table("whole").select("ord"), "ord", "left_anti"))
+    index.drop()
+    return found

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapline.functions.numbers import floor_div
 from tapline.session import cut
 
 
@@ -59,7 +60,7 @@ def nearest(
     def rows(df: DataFrame, key: str, entity: Column, time: str) -> DataFrame:
         out = df.select(entity.alias("entity"), F.col(time).cast("bigint").alias("t"), F.col(key).cast("bigint").alias("id"))
         out = out.filter("entity is not null and t is not null and id is not null")
-        return out.withColumn("bucket", F.floor(F.col("t") / F.lit(tolerance)))
+        return out.withColumn("bucket", floor_div(F.col("t"), tolerance))
 
     none = F.lit(None).cast("bigint")
     a, b = rows(left, left_id, left_entity, left_time), rows(right, right_id, right_entity, right_time)
@@ -73,7 +74,8 @@ def nearest(
     if n_hot:
         keys.append("slice")
         known = F.broadcast(hot) if n_hot <= KNOWN_HOT else hot
-        place = F.floor((F.col("t") - F.col("bucket") * F.lit(tolerance)) * (F.col("slices") / F.lit(tolerance)))
+        width = floor_div(F.lit(tolerance) + F.col("slices") - 1, F.col("slices"))  # of a slice, rounded up
+        place = floor_div(F.col("t") - F.col("bucket") * F.lit(tolerance), width)
         sliced = lambda df: df.join(known, CELL, "left").withColumn("slice", F.coalesce(F.least(place, F.col("slices") - 1), F.lit(0).cast("bigint"))).drop("slices", "width")
         a, b = sliced(a), sliced(b)
         over = over.withColumn("slice", F.lit(0).cast("bigint")).unionByName(_slice_borders(hot, b, over))

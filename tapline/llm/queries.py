@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.functions.addresses import plain_address
+from tapline.functions.numbers import floor_div
 from tapline.llm import distinct, history, leaks, nearest, packing, spam
 from tapline.plans.data_queries import ADDRESS
 from tapline.plans.tables import table
@@ -18,7 +19,7 @@ DIMS = ["day", "net_id", "protocol", "port", "dns_source"]
 
 
 def _connections(spark: SparkSession, folder: str) -> DataFrame:
-    day = F.floor(F.col("observed_ns") / F.lit(DAY_NS)).cast("int").alias("day")
+    day = floor_div(F.col("observed_ns"), DAY_NS).cast("int").alias("day")
     return table(spark, folder, "topology").select(day, *DIMS[1:], plain_address(F.col("issuer_ip")).alias("issuer"), plain_address(F.col("destination_ip")).alias("destination"))
 
 
