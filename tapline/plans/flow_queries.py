@@ -87,9 +87,9 @@ def sni_dedup(spark, folder):
 
 def _linked(spark, folder):
     conns = R.edges(spark, folder).filter("issuer_ip is not null and dst_ip is not null").select(F.col("edge_ord").alias("conn_id"), "file_idx", F.col("edge_ord").alias("pkt_idx"), "issuer_ip", "dst_ip", "proto", "port", F.col("first_seen_ns").alias("ts_ns"))
-    # As before the pass: no transaction has a port yet; a third of them lost their answers.
+    # As before the pass: no transaction has a port yet.
     tx = R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip dns_name name_evidence").withColumn("dest_port", F.lit(None).cast("int"))
-    return conns, tx, R.transaction_addresses(spark, folder).filter("tx_id % 3 <> 0")
+    return conns, tx, R.transaction_addresses(spark, folder)
 
 
 def conn_asof_direct(spark, folder):
