@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapline.functions.numbers import floor_div
 from tapline.operators import asof, intervals
 from tapline.operators.carry import run_ordered
 
@@ -21,6 +22,8 @@ SAME_START_MS = 5_000
 LATE_MS = 120_000
 JOIN_MS = 120_000
 IDLE_MS = 6 * 3600 * 1000
+# Fixed value: the most digits of an identity.
+DIGITS = 16
 
 
 class _FirstInWindow:
@@ -130,8 +133,12 @@ def coalesced(windows: DataFrame, reach_ms: int = JOIN_MS) -> DataFrame:
 
 
 def labels(events: DataFrame, windows: DataFrame, event_id: str, ip: Column, time_ms: Column) -> DataFrame:
-    """(event_id, imsi): the subscriber whose window holds the address at that moment; the smallest imsi of several."""
-    number = F.col("imsi").cast("bigint")
-    rows = windows.filter("imsi is not null and ip is not null").withColumns({"wid": F.col("imsi").cast("bigint"), "always": F.col("start_ms")})
+    """(event_id, imsi): the subscriber whose window holds the address at that moment; the first imsi of several as text.
+
+    An imsi, at most ``DIGITS`` digits, becomes one number that keeps its length and the order of the texts.
+    """
+    number = F.rpad("imsi", DIGITS, "0").cast("bigint") * (DIGITS + 1) + F.length("imsi")
+    rows = windows.filter("imsi is not null and ip is not null").withColumns({"wid": number, "always": F.col("start_ms")})
     found = asof.as_known(events, rows, event_id=event_id, event_entity=ip, event_time=time_ms, version_id="wid", version_entity=F.col("ip"), start="start_ms", end="end_ms", known="always", prefer=(-number, F.lit(0).cast("bigint")))
-    return found.select(F.col("event_id").alias(event_id), F.lpad(F.col("version_id").cast("string"), 15, "0").alias("imsi"))
+    digits = F.lpad(floor_div(F.col("version_id"), DIGITS + 1).cast("string"), DIGITS, "0")
+    return found.select(F.col("event_id").alias(event_id), F.substr(digits, F.lit(1), (F.col("version_id") % (DIGITS + 1)).cast("int")).alias("imsi"))

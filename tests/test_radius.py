@@ -57,3 +57,11 @@ def test_labels(spark):
     e = spark.createDataFrame([(1, "p", 10), (2, "p", 60), (3, "p", 500), (4, "q", 2), (5, None, 1)], "tx bigint, ip string, t bigint")
     got = {r.tx: r.imsi for r in radius.labels(e, w, "tx", F.col("ip"), F.col("t")).collect()}
     assert got == {1: "000000000000002", 2: "000000000000001", 3: "000000000000001"}
+
+
+def test_labels_keep_every_digit(spark):
+    held = {"p": "1234567890123456", "q": "1234567890123457", "r": "12345678901234", "s": "012345678901234", "t": "00345678901234"}
+    w = spark.createDataFrame([(imsi, ip, "s", 0, 100) for ip, imsi in held.items()] + [("12345678901234", "both", "s", 0, 9), ("123456789012340", "both", "s", 0, 9)], "imsi string, ip string, sid string, start_ms bigint, end_ms bigint")
+    e = spark.createDataFrame([(k, ip, 5) for k, ip in enumerate([*held, "both"])], "tx bigint, ip string, t bigint")
+    got = {r.tx: r.imsi for r in radius.labels(e, w, "tx", F.col("ip"), F.col("t")).collect()}
+    assert got == dict(enumerate([*held.values(), "12345678901234"]))
