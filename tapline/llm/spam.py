@@ -4,9 +4,10 @@ A text is cut into units (lines, and sentences within a line). For every word th
 occurrence of the same term are measured. Within a unit, terms that return within a short lag, measured over the
 content words only, tell unnaturally regular repetition from prose, where it is the function words that return;
 the autocorrelation of term positions, the share of words whose term was last seen exactly ``lag`` words before,
-maximised over a window of lags, tells fixed patterns and is given out with the score. Lists of many distinct nouns or links are told by having hardly any
-function words. Log excerpts, tables of connections and command lines are recognised by their form and never
-count. A document is reported if the greater part of its words stands in such units.
+maximised over a window of lags, tells fixed patterns and is given out with the score. Lists of many distinct
+nouns or links are told by having hardly any function words: of all such units of a text together, the share of
+words that did not occur shortly before. Log excerpts, tables of connections and command lines are recognised by
+their form and never count. A document is reported if the greater part of its words stands in such units.
 
 Every document is judged by itself, whole, in one pass without a shuffle. The decision uses fixed, documented
 thresholds that were set on labelled documents; no limit depends on the size of the data.
@@ -50,6 +51,8 @@ OPTION = re.compile(r"(?:^|\s)--?[a-z][a-z-]*(?:[ =]|$)")
 LAG = 40  # words within which a returning term counts as repetition in a list
 TIGHT = 8  # the same in sentences, where whole sentences may well return later
 MAX_LAG = 25  # lags over which the autocorrelation is maximised
+DISTINCT = 0.5  # share of the words of bare units that did not occur within the lag before, from which they list distinct nouns
+LISTED = 20  # words such a list has at least
 STEM = 7  # letters that variations of a keyword share
 UNIT = 40  # words after which a unit without a break is cut
 
@@ -116,7 +119,10 @@ def spam_share(text: str | None) -> tuple[float, float]:
     share_f = f / size
     listed = (share_f <= 0.08) & (r >= 0.3) | (share_f <= 0.16) & (r >= 0.55)
     dressed = (tight >= 0.5) & (c >= 3)
-    hits = plain & (listed | dressed)
+    bare = plain & (share_f <= 0.08) & (2 * c >= size)
+    fresh = sums(content & (back > LAG))[bare].sum()
+    distinct = bare & (fresh >= DISTINCT * c[bare].sum()) & (c[bare].sum() >= LISTED)
+    hits = plain & (listed | dressed) | distinct
     at_lag = np.bincount(gap[gap < MAX_LAG], minlength=3)[2:]
     return float(size[hits].sum() / n), float(at_lag.max() / n)
 

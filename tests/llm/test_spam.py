@@ -44,3 +44,16 @@ def test_labelled_sample(spark):
     got = sure.join(spam.scored(docs), "doc_id").selectExpr("(share > 0.5) = (vote > 0.5) as right").groupBy("right").count()
     counts = {r.right: r["count"] for r in got.collect()}
     assert counts[True] / sum(counts.values()) > 0.97
+
+
+TAGS = [a + b for a in "ver lo mar tel sor pan rig bel".split() for b in "tano dex mira kulo fas zent".split()]
+
+
+@pytest.mark.parametrize("text", [" ".join("#" + t for t in TAGS), "\n".join(TAGS), "\n".join(f'<a href="http://{a}.test/{b}">{b} {a}</a>' for a, b in zip(TAGS[::2], TAGS[1::2]))])
+def test_distinct_lists(text):
+    assert spam.spam_share(text)[0] > 0.5
+    assert spam.spam_share(PLAIN[0] + "\n" + PLAIN[4] + "\n" + " ".join(TAGS[:24]))[0] <= 0.5
+
+
+def test_short_headings_are_no_list():
+    assert spam.spam_share("Router setup\nAntenna mounting\nPower supply notes")[0] == 0
