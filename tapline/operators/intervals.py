@@ -44,18 +44,19 @@ def marked(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
     return cells.join(opened, ["entity", "chunk"]).select("entity", "start", "end", "before", "n", "opens", (F.col("islands") + running).alias("island"))
 
 
-def gaps(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
-    """(entity, gap_start, gap_end): from the greatest end so far to the next start after it."""
-    cells = rows.withColumn("chunk", floor_div(F.col("start"), chunk)).repartition("entity", "chunk")
-    past = Window.partitionBy("entity", "chunk").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = Window.partitionBy("entity").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.groupBy("entity", "chunk", "start").agg(F.max("end").alias("end"))
-    carry = cells.groupBy("entity", "chunk").agg(F.max("end").alias("top")).select("entity", "chunk", F.max("top").over(chunks).alias("carry"))
-    found = cells.withColumn("inner_end", F.max("end").over(past)).join(carry, ["entity", "chunk"])
-    found = found.withColumn("before", F.greatest("carry", "inner_end")).filter(F.col("start") > F.col("before"))
-    return found.select("entity", F.col("before").alias("gap_start"), F.col("start").alias("gap_end"))
-
-
 def periods(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
     """(entity, period_start, period_end, n_intervals): the continuous periods; an open one ends at FOREVER."""
     return marked(rows, chunk).groupBy("entity", "island").agg(F.min("start").alias("period_start"), F.max("end").alias("period_end"), F.sum("n").alias("n_intervals")).drop("island")
+
+
+def gaps(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
+    """(entity, gap_start, gap_end): from the end of each period to the start of the entity's next.
+
+    Periods are looked through by chunks of time; the last end of each chunk is carried on to the next.
+    """
+    found = periods(rows, chunk).withColumn("chunk", floor_div(F.col("period_start"), chunk))
+    inside = Window.partitionBy("entity", "chunk").orderBy("period_start")
+    last = found.groupBy("entity", "chunk").agg(F.max("period_end").alias("top"))
+    carry = last.select("entity", "chunk", F.lag("top").over(Window.partitionBy("entity").orderBy("chunk")).alias("carry"))
+    found = found.join(carry, ["entity", "chunk"]).withColumn("gap_start", F.coalesce(F.lag("period_end").over(inside), "carry"))
+    return found.filter("gap_start is not null").select("entity", "gap_start", F.col("period_start").alias("gap_end"))

@@ -55,3 +55,11 @@ def test_random_against_brute_force(spark):
     rows = [r for r in rows if r[2] not in (None, 0) or r[1] is None or r[1] > 300]
     for chunk in (7, 50, 10_000):
         check(spark, rows, chunk)
+
+
+def test_gaps_come_from_periods(spark, monkeypatch):
+    """What the periods are decides what the gaps are: joining the first two leaves the second gap only."""
+    df = frame(spark, [("a", 1, 5), ("a", 9, 12), ("a", 20, 30)])
+    joined = spark.createDataFrame([("a", 1, 12, 2), ("a", 20, 30, 1)], "entity string, period_start bigint, period_end bigint, n_intervals bigint")
+    monkeypatch.setattr(intervals, "periods", lambda rows, chunk: joined)
+    assert [tuple(r) for r in intervals.gaps(df, 4).collect()] == [("a", 12, 20)]
