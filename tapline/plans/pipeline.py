@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
+from itertools import count
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -194,13 +195,13 @@ def recover(spark: SparkSession, root: str, out: str) -> int:
     return n
 
 
-def run_days(spark: SparkSession, options: RunOptions, first: date, most: int = 366) -> list[RunFolder]:
+def run_days(spark: SparkSession, options: RunOptions, first: date) -> list[RunFolder]:
     """One run per day folder ``<read_dir>/<YYYY-MM-DD>`` from the first on, until a day has no captures.
 
     Nothing is copied: the folders are read where they are, on any file system Spark knows.
     """
     done = []
-    for k in range(most):
+    for k in count():
         day = (first + timedelta(days=k)).isoformat()
         try:
             packets = cut(pcap.read_captures(spark, f"{options.read_dir.rstrip('/')}/{day}"))

@@ -121,3 +121,16 @@ def test_days(spark, folder, tmp_path):
         (tmp_path / "in" / day / "a.pcap").write_bytes((folder / "a.pcap").read_bytes())
     done = pipeline.run_days(spark, RunOptions(str(tmp_path / "in"), "n", output_root=str(tmp_path / "out")), date(2024, 2, 28))
     assert [d.root.name for d in done] == ["2024-02-28", "2024-02-29"]
+
+
+def test_days_beyond_a_year(spark, monkeypatch):
+    def read(_, path):
+        if path.endswith("2025-03-10"):
+            raise FileNotFoundError(path)
+
+    monkeypatch.setattr(pipeline.pcap, "read_captures", read)
+    monkeypatch.setattr(pipeline, "cut", lambda packets: packets)
+    monkeypatch.setattr(pipeline, "build", lambda *_: None)
+    monkeypatch.setattr(pipeline, "write", lambda _, options, folder: options.read_dir)
+    done = pipeline.run_days(spark, RunOptions("in", "n", output_root="out"), date(2024, 1, 1))
+    assert len(done) == (date(2025, 3, 10) - date(2024, 1, 1)).days and done[-1] == "in/2025-03-09"
