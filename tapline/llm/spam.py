@@ -47,7 +47,7 @@ FUNCTION = frozenset(
 )
 TIMED = re.compile(r"^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 IP = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b")
-OPTION = re.compile(r"(?:^|\s)--?[a-z][a-z-]*(?:[ =]|$)")
+OPTION = re.compile(r"(?:^|\s)(?:--[a-z][a-z-]*|-[a-z])(?:[ =]|$)")
 LAG = 40  # words within which a returning term counts as repetition in a list
 TIGHT = 8  # the same in sentences, where whole sentences may well return later
 MAX_LAG = 25  # lags over which the autocorrelation is maximised
@@ -65,16 +65,26 @@ class _Numbers(dict):
         return n
 
 
+def _rows_follow(lines: list[str], k: int) -> bool:
+    """Whether a row with an address stands below line ``k``, a head of a table, apart from a rule."""
+    below = next((x for x in lines[k + 1 : k + 3] if x.strip(" |:+-")), "")
+    return below.count("|") >= 3 and IP.search(below) is not None
+
+
 def units_of(text: str) -> Iterator[tuple[str, bool]]:
     """(unit, technical) in order."""
-    fenced = False
-    for line in text.split("\n"):
-        if line.lstrip().startswith("```"):
+    lines = text.split("\n")
+    marks = [k for k, line in enumerate(lines) if line.lstrip().startswith("```")]
+    closed = len(marks) // 2 * 2
+    fences, fenced = set(marks[:closed]), False
+    for k, line in enumerate(lines):
+        if k in fences:
             fenced = not fenced
             continue
         if not line.strip():
             continue
-        if fenced or TIMED.match(line) or (OPTION.search(line) and "/" in line) or (line.count("|") >= 3 and (IP.search(line) or "destination" in line)):
+        table = line.count("|") >= 3 and (IP.search(line) or "destination" in line and _rows_follow(lines, k))
+        if fenced or TIMED.match(line) or (OPTION.search(line) and "/" in line) or table:
             yield line, True
             continue
         for part in SENTENCE.split(line):

@@ -57,3 +57,8 @@ def test_distinct_lists(text):
 
 def test_short_headings_are_no_list():
     assert spam.spam_share("Router setup\nAntenna mounting\nPower supply notes")[0] == 0
+
+
+@pytest.mark.parametrize("text", ["```\n" + STUFFED[0], "\n".join(["sim card | destination sim | buy sim card | sim"] * 9), "\n".join(f"sim card -sale http://x{i}.test/sim" for i in range(9))])
+def test_loose_marks_do_not_excuse(text):
+    assert spam.spam_share(text)[0] > 0.5
