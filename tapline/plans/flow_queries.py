@@ -195,7 +195,7 @@ _EV = "file_idx, issuer_ip, dst_ip, port, ts_ns, pkt_idx"
 _CROSS = "cross_ AS (SELECT issuer_ip, dst_ip, proto, port, file_idx, first_seen_ns FROM (SELECT *, row_number() OVER (PARTITION BY issuer_ip, dst_ip, proto, port ORDER BY file_idx, first_seen_ns) AS r FROM {0}) WHERE r = 1)"
 _MATCH = f"""{D.MESSAGES}, m AS (SELECT r.response_id, q.query_id, row_number() OVER (PARTITION BY r.response_id ORDER BY (r.name = '' OR q.name = r.name) DESC, q.ts_ns DESC, q.pkt_idx DESC) AS k
   FROM responses r JOIN queries q ON q.file_idx = r.file_idx AND q.issuer_ip = r.issuer_ip AND q.src_port = r.src_port AND q.resolver_ip = r.resolver_ip AND q.proto = r.proto AND q.dns_id = r.dns_id AND (q.ts_ns, q.pkt_idx) < (r.ts_ns, r.pkt_idx) WHERE r.dns_id <> 0)"""
-_LINK = f"""{S.TX}, {S.TXIP}, {S.EDGES}, {S.MAP}, {D.CONNECTIONS}, ips AS (SELECT * FROM tx_ip WHERE tx_id % 3 <> 0), ix AS (SELECT t.tx_id, t.issuer_ip, t.req_ts_ns, i.ip FROM tx t JOIN ips i USING (tx_id) WHERE issuer_ip <> ''),
+_LINK = f"""{S.TX}, {S.TXIP}, {S.EDGES}, {S.MAP}, {D.CONNECTIONS}, ips AS (SELECT * FROM tx_ip), ix AS (SELECT t.tx_id, t.issuer_ip, t.req_ts_ns, i.ip FROM tx t JOIN ips i USING (tx_id) WHERE issuer_ip <> ''),
 dr AS (SELECT conn_id, tx_id, ts_ns - req_ts_ns AS dt_ns FROM (SELECT c.conn_id, c.ts_ns, x.tx_id, x.req_ts_ns, row_number() OVER (PARTITION BY c.conn_id ORDER BY x.req_ts_ns DESC, x.tx_id) AS r FROM conns c JOIN ix x ON x.issuer_ip = c.issuer_ip AND x.ip = c.dst_ip AND x.req_ts_ns < c.ts_ns) WHERE r = 1 AND ts_ns - req_ts_ns <= 5000000000),
 un AS (SELECT tx_id, issuer_ip, req_ts_ns, dns_name FROM tx WHERE issuer_ip <> '' AND {S.resolvable('dns_name')} AND tx_id NOT IN (SELECT tx_id FROM ips)),
 nk AS (SELECT * FROM conns c WHERE proto = 'tcp' AND NOT EXISTS (SELECT 1 FROM ix x WHERE x.issuer_ip = c.issuer_ip AND x.ip = c.dst_ip)),
