@@ -27,6 +27,7 @@ FALLBACK = ("csv+mid", "csv+conn")
 DIRECT_DONORS = ("dns+synack", "sni+synack")
 INFERRED_DONOR = "dns+conn+synack"
 MAX_AGE_NS = 120 * 10**9
+HOUR_NS = 3600 * 10**9
 TUPLE = ["issuer", "dst", "proto", "port"]
 
 
@@ -37,26 +38,62 @@ def eligible(edges: DataFrame, transactions: DataFrame) -> DataFrame:
     return kept.join(resolvers, "issuer_ip", "left_anti")
 
 
+def _candidates(transactions: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Named transactions as (issuer_ip, dst_ip, proto, port, t, fit): protocol and port are null where unknown."""
+    named = transactions.filter("issuer_ip is not null and dns_name is not null and dns_name <> ''").select("tx_id", "issuer_ip", F.col("req_ts_ns").alias("t"), "dns_name", F.coalesce("name_evidence", F.lit(0)).alias("name_bits"), F.lower("proto").alias("proto"), F.when(F.col("dest_port") > 0, F.col("dest_port")).alias("port"))
+    tx = named.filter("t is not null").join(addresses.select("tx_id", F.col("ip").alias("dst_ip"), F.coalesce("evidence", F.lit(0)).alias("ip_bits")), "tx_id")
+    score = F.when(F.col("proto").isNotNull(), 2).otherwise(0) + F.when(F.col("port").isNotNull(), 2).otherwise(0) + F.when(ev.has(F.col("name_bits"), ev.SNI), 1).otherwise(0)
+    fit = F.struct(score.alias("score"), F.col("t").alias("req_ts_ns"), (-F.col("tx_id")).alias("minus"), canonical_name(F.col("dns_name")).alias("name"), F.col("name_bits").bitwiseOR(F.col("ip_bits")).alias("bits"))
+    return tx.select("issuer_ip", "dst_ip", "proto", "port", "t", fit.alias("fit"))
+
+
+def _carried(rows: DataFrame, cell: list[str], order: list, max_age_ns: int) -> DataFrame:
+    """Adds ``best`` to rows sorted by ``order``: the greatest fit among the last of each class up to a row.
+
+    A class is which of protocol and port a transaction has, and whether a client hello named it: within a class
+    the score is equal, so the last one is the best. All four partitionings refine ``cell``, so the rows are
+    shuffled once and sorted four times.
+    """
+    sni, fits = F.col("fit.score") % 2 == 1, []
+    for extra, has_proto, has_port in ([], False, False), (["proto"], True, False), (["port"], False, True), (["proto", "port"], True, True):
+        mine = F.col("fit").isNotNull() & (F.col("proto").isNotNull() == has_proto) & (F.col("port").isNotNull() == has_port)
+        past = Window.partitionBy(*cell, *extra).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        fits += [F.last(F.when(mine & kind, F.col("fit")), ignorenulls=True).over(past) for kind in (sni, ~sni)]
+    names = [f"_fit{k}" for k in range(len(fits))]
+    rows = rows.withColumns(dict(zip(names, fits, strict=True)))
+    young = lambda c: F.when(F.col("t") - F.col(f"{c}.req_ts_ns") <= max_age_ns, F.col(c)) if max_age_ns > 0 else F.col(c)
+    return rows.withColumn("best", F.greatest(*[young(c) for c in names])).drop(*names)
+
+
 def _with_best(edges: DataFrame, transactions: DataFrame, addresses: DataFrame, max_age_ns: int) -> DataFrame:
     """The edges with ``best``: score, time, -tx_id, name and bits of the transaction that fits best, null if none.
 
     Transactions with a protocol or port of their own must agree with the edge and are preferred, names from a
-    client hello slightly; then the latest request wins. Time buckets as wide as the age limit keep the join of a
-    busy pair small: a partner is in the same or the previous bucket.
+    client hello slightly; then the latest request wins, then the smaller number. Nothing is multiplied: edges and
+    transactions of a pair meet per chunk of time in one sort and the last transaction of each class is carried on.
+    With an age limit chunks are as long as that, and a transaction goes to its own and the next one. Without one
+    all earlier chunks count, so the best of them is carried along a list of the pair's chunks.
     """
-    named = transactions.filter("issuer_ip is not null and dns_name is not null and dns_name <> ''").select("tx_id", F.col("issuer_ip").alias("tx_issuer"), "req_ts_ns", "dns_name", F.coalesce("name_evidence", F.lit(0)).alias("name_bits"), F.lower("proto").alias("tx_proto"), F.when(F.col("dest_port") > 0, F.col("dest_port")).alias("tx_port"))
-    tx = named.join(addresses.select("tx_id", F.col("ip").alias("tx_ip"), F.coalesce("evidence", F.lit(0)).alias("ip_bits")), "tx_id")
-    columns = edges.columns
-    on = (F.col("issuer_ip") == F.col("tx_issuer")) & (F.col("dst_ip") == F.col("tx_ip")) & (F.col("req_ts_ns") <= F.col("first_seen_ns"))
+    columns, pair, chunk_ns = edges.columns, ["issuer_ip", "dst_ip"], max_age_ns or HOUR_NS
+    own = floor_div(F.col("t"), chunk_ns)
+    tx = _candidates(transactions, addresses)
+    facts = tx.withColumn("chunk", F.explode(F.array(own, own + 1)) if max_age_ns > 0 else own)
+    e = edges.select(*pair, F.lower("proto").alias("proto"), "port", F.col("first_seen_ns").alias("t"), F.struct(*columns).alias("edge"), floor_div(F.col("first_seen_ns"), chunk_ns).alias("chunk"))
+    minus, kind = F.col("fit.minus").asc(), F.col("fit").isNull()
+    rows = e.unionByName(facts, allowMissingColumns=True).repartition(*pair, "chunk")
+    found = _carried(rows, [*pair, "chunk"], ["t", kind, minus], max_age_ns).filter("edge is not null")
+    once = lambda c: F.explode(F.array(c)).alias("best")  # noqa: E731  a generator keeps later steps from repeating what it is made of
     if max_age_ns > 0:
-        edges = edges.withColumn("bucket", floor_div(F.col("first_seen_ns"), max_age_ns))
-        own = floor_div(F.col("req_ts_ns"), max_age_ns)
-        tx = tx.withColumn("tx_bucket", F.explode(F.array(own, own + 1)))
-        on = on & (F.col("bucket") == F.col("tx_bucket")) & (F.col("req_ts_ns") >= F.col("first_seen_ns") - max_age_ns)
-    on = on & (F.col("tx_proto").isNull() | (F.col("tx_proto") == F.lower("proto"))) & (F.col("tx_port").isNull() | (F.col("tx_port") == F.col("port")))
-    score = F.when(F.col("tx_proto").isNotNull(), 2).otherwise(0) + F.when(F.col("tx_port").isNotNull(), 2).otherwise(0) + F.when(ev.has(F.col("name_bits"), ev.SNI), 1).otherwise(0)
-    fit = F.struct(score.alias("score"), "req_ts_ns", (-F.col("tx_id")).alias("minus"), canonical_name(F.col("dns_name")).alias("name"), F.col("name_bits").bitwiseOR(F.col("ip_bits")).alias("bits"))
-    return edges.join(tx, on, "left").groupBy(*columns).agg(F.max(F.when(F.col("tx_id").isNotNull(), fit)).alias("best"))
+        return found.select("edge.*", once(F.col("best")))
+    places = e.select(*pair, "proto", "port", "chunk").distinct()
+    last = facts.groupBy(*pair, "proto", "port", (F.col("fit.score") % 2).alias("sni"), "chunk").agg(F.max("fit").alias("fit"))
+    last = last.select(*pair, "proto", "port", "fit", (F.col("chunk") + 1).alias("chunk"))
+    earlier = _carried(places.unionByName(last, allowMissingColumns=True).repartition(*pair).withColumn("t", F.lit(0)), pair, ["chunk", kind, "fit.req_ts_ns", minus], 0)
+    keys = [*pair, "proto", "port", "chunk"]
+    earlier = earlier.filter("fit is null").select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("best").alias("_earlier"))
+    same = [F.col(c) == F.col(f"_{c}") for c in (*pair, "chunk")] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("proto", "port")]
+    found = found.join(earlier, same, "left")
+    return found.select("edge.*", once(F.greatest("best", "_earlier")))
 
 
 def best_transactions(edges: DataFrame, transactions: DataFrame, addresses: DataFrame, max_age_ns: int = MAX_AGE_NS) -> DataFrame:
@@ -94,7 +131,11 @@ def folded(rows: DataFrame) -> DataFrame:
 
 
 def without_unnamed_twins(rows: DataFrame) -> DataFrame:
-    """Unnamed rows go where a named one has the same issuer, destination, protocol and port."""
+    """Unnamed rows go where a named one has the same issuer, destination, protocol and port.
+
+    Rows are spread by issuer and destination, which serves the windows of the rules that follow as well.
+    """
+    rows = rows.repartition("issuer", "dst")
     named = F.max(F.col("dns_name") != "").over(Window.partitionBy(*TUPLE))
     return rows.withColumn("_named", named).filter("dns_name <> '' or not _named").drop("_named")
 
@@ -139,8 +180,9 @@ def completed_by_peers(rows: DataFrame) -> DataFrame:
 
 
 def matrix(edges: DataFrame, transactions: DataFrame, addresses: DataFrame, pairs: DataFrame, max_age_ns: int = MAX_AGE_NS, label: Column | None = None) -> DataFrame:
-    """The whole chain. Peers are rows of the same result, so that is cut before it is looked at twice."""
-    rows = folded(attributed(edges, transactions, addresses, pairs, max_age_ns, label))
+    """The whole chain. Peers are rows of the same result, so that is cut before it is looked at twice; the folded
+    contacts are cut as well, being few beside the edges, since one plan of everything takes longer to plan than to run."""
+    rows = cut(folded(attributed(edges, transactions, addresses, pairs, max_age_ns, label)))
     return completed_by_peers(cut(settle_fallback(without_unnamed_twins(rows))))
 
 

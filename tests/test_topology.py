@@ -114,3 +114,41 @@ def test_empty(rows):
     empty = rows([("a", "1.1.1.1", "", "", 1)]).limit(0)
     for f in (T.folded, T.without_unnamed_twins, T.settle_fallback, T.completed_by_peers, T.short, T.ordered):
         assert f(empty).count() == 0
+
+
+def best_by_hand(edges, tx, ips, max_age):
+    out = {}
+    for k, (who, dst, proto, port, t) in enumerate(edges):
+        fit = []
+        for i, ts, issuer, name, tx_port, tx_proto, ev in tx:
+            if issuer == who and name and ts <= t and (not max_age or t - ts <= max_age) and (tx_proto is None or tx_proto == proto) and (not tx_port or tx_port == port) and any(j == i and ip == dst for j, ip, *_ in ips):
+                fit.append((2 * (tx_proto is not None) + 2 * bool(tx_port) + (ev & 2) // 2, ts, -i))
+        if fit:
+            out[k] = -max(fit)[2]
+    return out
+
+
+def test_best_transaction_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    for max_age in (7, 40, 0):
+        edges = [(rng.choice("ab"), rng.choice("xy"), rng.choice(["tcp", "udp", None]), rng.choice([80, 443]), rng.randrange(-100, 200)) for _ in range(150)]
+        tx = [(i, rng.randrange(-100, 200), rng.choice(["a", "b", None]), rng.choice(["n.example", "m.example", None, ""]), rng.choice([None, 0, 80, 443]), rng.choice([None, None, "tcp", "udp"]), rng.choice([0, 1, 2, 3])) for i in range(80)]
+        ips = [(i, ip, 0, 1) for i in range(80) for ip in rng.sample("xyz", rng.randint(0, 2))]
+        e = spark.createDataFrame([(k, *x) for k, x in enumerate(edges)], EDGES)
+        t = spark.createDataFrame([(i, ts, who, None, name, "8.8.8.8", port, proto, "a.pcap", ev) for i, ts, who, name, port, proto, ev in tx], TX)
+        got = T.best_transactions(e, t, spark.createDataFrame(ips, IPS), max_age)
+        assert {r.edge_ord: r.tx_id for r in got.collect()} == best_by_hand(edges, tx, ips, max_age)
+
+
+@pytest.mark.parametrize("max_age", [T.MAX_AGE_NS, 0])
+def test_burst_of_one_pair_is_linear(spark, max_age):
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    e = spark.range(n).select(F.col("id").alias("edge_ord"), F.lit("a").alias("issuer_ip"), F.lit("13.1.1.1").alias("dst_ip"), F.lit("tcp").alias("proto"), F.lit(443).alias("port"), (F.col("id") + 1000 * S).alias("first_seen_ns"))
+    none = lambda kind: F.lit(None).cast(kind)
+    t = spark.range(n).select(F.col("id").alias("tx_id"), (F.col("id") + 1000 * S).alias("req_ts_ns"), F.lit("a").alias("issuer_ip"), F.lit("n.example").alias("dns_name"), none("int").alias("dest_port"), none("string").alias("proto"), F.lit(1).alias("name_evidence"))
+    ips = t.select("tx_id", F.lit("13.1.1.1").alias("ip"), F.lit(0).alias("ord"), F.lit(1).alias("evidence"))
+    assert T.best_transactions(e, t, ips, max_age).filter("edge_ord = tx_id").count() == n
