@@ -2,6 +2,7 @@
 
 Lines are read permissively under an explicit two-column schema, the raw text of rows that do not fit kept in a
 corrupt column; those rows, and the rows that fit by luck, are then classified by quoting, count and cast checks.
+Separators are counted beforehand, so that a line of very many fields is not parsed at all.
 All of it is one pass of built-in expressions: no shuffle, nothing sent to Python, so a hot source file costs
 nothing more than its own lines.
 
@@ -22,6 +23,7 @@ SEP = "\x01"
 NAME = r"^(?=.{1,254}$)(?:[A-Za-z0-9_](?:[A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?\.)+(?![0-9]+\.?$)[A-Za-z0-9_](?:[A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?\.?$"
 SCHEMA = "left_field STRING, right_field STRING, corrupt STRING"
 REASONS = ("quoting", "columns", "ip", "dns")
+PARSED_FIELDS = 16  # lines with more fields have the wrong number of them; the parser, which has a buffer a field, is spared those
 
 
 def is_name(name: Column) -> Column:
@@ -58,11 +60,11 @@ def read_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     # A control character of the separator's value inside a line cannot be part of a valid field.
     rows = _once(rows, "_line", F.struct(even.alias("even"), F.regexp_replace("_bare", "[\x01\r\n]", "\x02").alias("safe")))
     rows = _once(rows, "_text", F.when(F.col("_line.even"), _separated(F.col("_line.safe"))).otherwise(F.col("_line.safe")))
-    options = {"sep": SEP, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": "", "maxCharsPerColumn": "-1", "maxColumns": "2000000", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x03"}
-    rows = _once(rows, "_read", F.from_csv("_text", F.lit(SCHEMA), options))
-
+    options = {"sep": SEP, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": "", "maxCharsPerColumn": "-1", "maxColumns": str(PARSED_FIELDS), "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x03"}
     # Quoting is judged on the raw fields: a corrupt row may have any number of them.
     rows = _once(rows, "_fields", F.transform(F.split("_text", SEP), lambda x: F.btrim(x, F.lit(" \t"))))
+    rows = _once(rows, "_read", F.from_csv(F.when(F.size("_fields") <= PARSED_FIELDS, F.col("_text")), F.lit(SCHEMA), options))
+
     quoting = ~F.col("_line.even") | F.exists("_fields", lambda x: F.contains(x, F.lit('"')) & ~x.rlike(r'(?s)^"[^"]*"$'))
     columns = F.col("_read.corrupt").isNotNull() | (F.size("_fields") != 2)
 

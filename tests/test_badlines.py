@@ -90,3 +90,10 @@ def test_values_extra_columns_and_empty(spark):
 def test_every_reason_occurs(spark, reason):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "line_id bigint, line string")
     assert badlines.failed_lines(df).filter(f"reason = '{reason}'").count() > 0
+
+
+def test_very_many_fields(spark):
+    lines = ["," * 2_000_001, "x " * 400_000 + "y", '"a",' * 70_000 + '"', "1.2.3.4,a.example" + "," * 15, "1.2.3.4,a.example"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id bigint, line string")
+    got = {r.line_id: r.reason for r in badlines.read_lines(df).select("line_id", "reason").collect()}
+    assert got == {0: "columns", 1: "columns", 2: "quoting", 3: "columns", 4: None}
