@@ -56,7 +56,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_kept(spark: SparkSession, folder: str) -> DataFrame:
-    kept = messages.deduplicated(table(spark, folder, "radius_msgs"), _message_keys(), ["imsi", "ts_ms"], "recv_id")
+    rows = table(spark, folder, "radius_msgs").select("recv_id", "batch_no", "imsi", "sid", "ts_ms", "status")
+    kept = messages.deduplicated(rows, _message_keys(), ["imsi", "ts_ms"], "recv_id")
     return kept.select("recv_id", "batch_no", "ts_ms", "status")
 
 
