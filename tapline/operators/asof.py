@@ -9,7 +9,9 @@ A version is sent only to the buckets in which it becomes active or ends. Where
 entered at the few nodes of a binary tree over the buckets that make up that range, and only the best version of
 each node is kept, by an aggregation with map-side combine. A cell then takes one row, the best of its ancestors.
 So an entity with a third of all rows is split by time, an open-ended version is not copied to every later bucket,
-and a cell with more than ``cell_rows`` events is split further by a hash of the event.
+and a cell with more than ``cell_rows`` events is split further by a hash of the event. A cell in which more than
+``cell_rows`` versions begin or end is split by a hash of the version: its events go to every part, and the best of
+the parts' answers is taken. Such cells are counted beforehand; where there is none the plan has no trace of parts.
 
 Edge cases: events without entity or time get no row; versions without entity or start, and those that end before
 they start, are not used; an end that is null or 0 is open; a null record time means known from the start. Of
@@ -29,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapline.functions.numbers import floor_div
-from tapline.session import task_count
+from tapline.session import cut, task_count
 
 BUCKET_MS = 6 * 3600 * 1000
 CELL_ROWS = 200_000
 TASK_ROWS = 250_000
+PARTS = 1 << 20  # more than a cell can have parts
+KNOWN_HEAVY = 100_000  # cells with very many versions up to which their list is broadcast
 LOW, HIGH = -(2**62), 2**62
 
 
@@ -65,7 +69,7 @@ def _match(span: int) -> callable:
     """The co-group function: cells of one task, times as offsets from the start of their bucket."""
 
     def run(events: pa.Table, versions: pa.Table) -> pa.Table:
-        empty = pa.table({"event_id": pa.array([], pa.int64()), "version_id": pa.array([], pa.int64())})
+        empty = pa.table({c: pa.array([], pa.int64()) for c in ("event_id", "version_id", "first", "second")})
         if not events.num_rows or not versions.num_rows:
             return empty
         n = events.num_rows
@@ -83,7 +87,8 @@ def _match(span: int) -> callable:
         keep = until >= since
         best = best_cover(at[by_time], since[keep], until[keep], weight[keep])
         hit = best >= 0
-        return pa.table({"event_id": events["event_id"].to_numpy()[by_time][hit], "version_id": vid[order[best[hit]]]})
+        won = order[best[hit]]
+        return pa.table({"event_id": events["event_id"].to_numpy()[by_time][hit], "version_id": vid[won], "first": one[won], "second": two[won]})
 
     return run
 
@@ -101,7 +106,7 @@ def as_known(
     low, high = (low, high) if n else (0, 0)
     first = low // bucket
     levels = max(1, math.ceil(math.log2(high // bucket - first + 1)) + 1)
-    tasks = task_count(events, n, task_rows)
+    tasks = task_count(events, n + versions.count(), task_rows)
     e = e.distinct().withColumn("bucket", floor_div(F.col("t"), bucket) - F.lit(first))
 
     opened = F.when(F.col(end).isNull() | (F.col(end) == 0), F.lit(HIGH)).otherwise(F.col(end).cast("bigint"))
@@ -128,12 +133,24 @@ def as_known(
     edge = v.withColumn("bucket", F.explode(F.array_distinct(F.array("b1", "b2"))))
     limit = lambda c: F.least(F.greatest(c - begin, F.lit(-1)), F.lit(bucket)).cast("bigint")
     edge = edge.select("entity", "bucket", limit(F.col("since")).alias("since"), limit(F.col("until")).alias("until"), "first", "second", "version_id")
+    heavy = edge.groupBy("entity", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
+    heavy = cut(heavy.select("entity", "bucket", F.ceil(F.col("n") / F.lit(cell_rows)).alias("parts")))
+    n_heavy = heavy.count()
     v = edge.unionByName(covers)
 
     crowded = cells.filter(F.col("n") > cell_rows).select("entity", "bucket", F.ceil(F.col("n") / F.lit(cell_rows)).alias("salts"))
     e = e.join(crowded, ["entity", "bucket"], "left").withColumn("salt", F.pmod(F.xxhash64("event_id"), F.coalesce("salts", F.lit(1))))
     v = v.join(crowded, ["entity", "bucket"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)))
+    if n_heavy:
+        known = F.broadcast(heavy) if n_heavy <= KNOWN_HEAVY else heavy
+        parts = F.coalesce("parts", F.lit(1))
+        e = e.join(known, ["entity", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        v = v.join(known, ["entity", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("version_id"), parts))
+        e, v = (x.withColumn("salt", F.col("salt") * PARTS + F.col("part")) for x in (e, v))
     task = F.pmod(F.xxhash64("entity", "bucket", "salt"), F.lit(tasks)).alias("task")
     e = e.select(task, "entity", "bucket", "salt", "event_id", (F.col("t") - begin).alias("offset"))
     v = v.select(task, "entity", "bucket", "salt", "since", "until", "first", "second", "version_id")
-    return e.groupBy("task").cogroup(v.groupBy("task")).applyInArrow(_match(bucket), "event_id bigint, version_id bigint")
+    found = e.groupBy("task").cogroup(v.groupBy("task")).applyInArrow(_match(bucket), "event_id bigint, version_id bigint, first bigint, second bigint")
+    if n_heavy:
+        found = found.groupBy("event_id").agg(F.max(F.struct("first", "second", "version_id")).alias("b")).select("event_id", "b.version_id")
+    return found.select("event_id", "version_id")
