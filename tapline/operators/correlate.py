@@ -64,18 +64,19 @@ class _Infer:
     """One run of an issuer's transactions and connections in time order."""
 
     def __init__(self, delay: int):
-        self.delay, self.open = delay, {}
+        self.delay, self.open = delay, {}  # in order of time, as rows come in it
 
     def step(self, row: dict) -> list:
         t = row["t"]
-        self.open = {k: u for k, u in self.open.items() if u >= t - self.delay}
+        while self.open and self.open[first := next(iter(self.open))] < t - self.delay:
+            del self.open[first]
         if row["conn_id"] is None:
             self.open[row["tx_id"]] = t
             return []
-        fit = list(self.open)
-        if len(fit) != 1 or row["known"] and fit[0] not in row["allowed"]:
+        if len(self.open) != 1 or row["known"] and next(iter(self.open)) not in row["allowed"]:
             return []
-        return [(row["conn_id"], fit[0], t - self.open.pop(fit[0]))]
+        only = next(iter(self.open))
+        return [(row["conn_id"], only, t - self.open.pop(only))]
 
     def end(self) -> list:
         return []

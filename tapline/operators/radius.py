@@ -22,6 +22,7 @@ SAME_START_MS = 5_000
 LATE_MS = 120_000
 JOIN_MS = 120_000
 IDLE_MS = 6 * 3600 * 1000
+FEW = 64  # closed windows that are kept without looking through them
 # Fixed value: the most digits of an identity.
 DIGITS = 16
 
@@ -54,17 +55,24 @@ def first_in_window(messages: DataFrame, key: Column, time: Column, row_id: str,
 class _Sessions:
     """The session rules for one (imsi, ip): what a start, an interim and a stop do to open windows."""
 
-    def __init__(self, tail: int, emit_open: bool):
-        self.tail, self.emit_open = tail, emit_open
+    def __init__(self, tail: int, emit_open: bool, late_ms: int = 0):
+        self.tail, self.emit_open, self.keep_ms, self.most = tail, emit_open, LATE_MS + late_ms, FEW
         self.open: dict[str, list] = {}  # sid: [start, end, provisional]
-        self.closed: dict[str, list] = {}
+        self.closed: dict[str, list] = {}  # those an interim can still prolong
         self.who = ("", "")
 
     def _out(self, sid: str, w: list) -> tuple:
         return (*self.who, sid, w[0], w[1], w[2])
 
+    def _forget(self, t: int) -> None:
+        """Drop closed windows no message can reach any more, each time their number has doubled."""
+        if len(self.closed) >= self.most:
+            self.closed = {s: w for s, w in self.closed.items() if w[1] >= t - self.keep_ms}
+            self.most = max(FEW, 2 * len(self.closed))
+
     def step(self, row: dict) -> list:
         self.who = (row["imsi"], row["ip"])
+        self._forget(row["ts_ms"])
         t, sid, back = row["ts_ms"], row["sid"], max(row["sess_time_sec"] or 0, 0) * 1000
         if row["status"] == START:
             return self._start(t, sid)

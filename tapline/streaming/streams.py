@@ -62,8 +62,10 @@ def sessions(messages: DataFrame, late: str = "10 minutes", idle_ms: int = 6 * 3
     rows = messages.filter("imsi <> '' and ip <> '' and ts_ms is not null and status is not null").withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
     rows = rows.select("imsi", "ip", F.when(F.coalesce("sid", F.lit("")) == "", "-").otherwise(F.col("sid")).alias("sid"), "ts_ms", "sess_time_sec", F.when(F.col("status").isin(START, INTERIM, STOP), F.col("status")).otherwise(INTERIM).alias("status"), "at")
 
+    late_ms = int(pd.Timedelta(late).total_seconds() * 1000)
+
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = _Sessions(2**62, False)
+        machine = _Sessions(2**62, False, late_ms)
         machine.who = (key[0], key[1])
         if state.exists:
             machine.open, machine.closed = pickle.loads(state.get[0])

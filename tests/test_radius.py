@@ -65,3 +65,14 @@ def test_labels_keep_every_digit(spark):
     e = spark.createDataFrame([(k, ip, 5) for k, ip in enumerate([*held, "both"])], "tx bigint, ip string, t bigint")
     got = {r.tx: r.imsi for r in radius.labels(e, w, "tx", F.col("ip"), F.col("t")).collect()}
     assert got == dict(enumerate([*held.values(), "12345678901234"]))
+
+
+def test_closed_windows_are_forgotten():
+    machine = radius._Sessions(10**12, False)
+    out = []
+    for k in range(5000):
+        t = k * 60_000
+        out += machine.step({"imsi": "a", "ip": "b", "sid": f"s{k}", "ts_ms": t, "sess_time_sec": 5, "status": radius.STOP})
+        if k:  # an interim a minute after the stop still prolongs the window before
+            out += machine.step({"imsi": "a", "ip": "b", "sid": f"s{k - 1}", "ts_ms": t, "sess_time_sec": 5, "status": radius.INTERIM})
+    assert len(machine.closed) <= radius.FEW and len(out) == 9999 and out[-1][4] == 4999 * 60_000
