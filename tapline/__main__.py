@@ -1,8 +1,14 @@
-"""Command line: python -m tapline --read-dir DIR --net-id ID [options]."""
+"""Command line: python -m tapline --read-dir DIR --net-id ID [options], or one of the commands below.
+
+``days --first-day YYYY-MM-DD`` with the same options runs one day folder after another, ``recover ROOT OUT`` finds
+names for what earlier runs left unresolved, ``sort-map FILE OUT_DIR`` writes a map in its three orders.
+"""
 
 from __future__ import annotations
 
 import argparse
+import sys
+from datetime import date
 
 from pyspark.sql import SparkSession
 
@@ -15,7 +21,8 @@ def parser() -> argparse.ArgumentParser:
     add = p.add_argument
     add("--read-dir", "-r", required=True, help="folder of captures")
     add("--net-id", required=True, help="name of the network, a folder of the output")
-    add("--output-root", default="tapline_output")
+    add("--output-root", "-o", default="tapline_output")
+    add("--no-banner", action="store_true", help="do not say what is run")
     add("--format", choices=("table", "json"), default="table")
     add("--export-csv", default="", help="also write the main table as CSV")
     add("--short", "-s", action="store_true", help="one topology row per issuer, destination, protocol and port")
@@ -36,11 +43,50 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(arguments: list[str] | None = None) -> None:
-    given = {k: v for k, v in vars(parser().parse_args(arguments)).items() if k != "active_resolvers" or v}
+def _session() -> SparkSession:
+    return SparkSession.builder.appName("tapline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+def _recover(arguments: list[str]) -> None:
+    p = argparse.ArgumentParser("tapline recover")
+    p.add_argument("root", help="folder of earlier runs")
+    p.add_argument("out", help="file of dns,ip lines")
+    given = p.parse_args(arguments)
+    print(pipeline.recover(_session(), given.root, given.out))
+
+
+def _sort_map(arguments: list[str]) -> None:
+    p = argparse.ArgumentParser("tapline sort-map")
+    p.add_argument("file")
+    p.add_argument("out", help="folder of the sorted maps")
+    given = p.parse_args(arguments)
+    pipeline.sort_map(_session(), given.file, given.out)
+
+
+def _run(arguments: list[str] | None, days: bool) -> None:
+    p = parser()
+    if days:
+        p.add_argument("--first-day", type=date.fromisoformat, required=True)
+    given = vars(p.parse_args(arguments))
+    first, quiet = given.pop("first_day", None), given.pop("no_banner")
+    if not given["active_resolvers"]:
+        del given["active_resolvers"]
     options = RunOptions(**given | {"post_hooks": tuple(given["post_hooks"])})
-    spark = SparkSession.builder.appName("tapline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    print(pipeline.run(spark, options).path)
+    if not quiet:
+        print(f"tapline: {options.read_dir}, network {options.net_id}", file=sys.stderr)
+    for done in pipeline.run_days(_session(), options, first) if days else [pipeline.run(_session(), options)]:
+        print(done.path)
+
+
+def main(arguments: list[str] | None = None) -> None:
+    arguments = sys.argv[1:] if arguments is None else arguments
+    command = arguments[0] if arguments else ""
+    if command == "recover":
+        _recover(arguments[1:])
+    elif command == "sort-map":
+        _sort_map(arguments[1:])
+    else:
+        _run(arguments[1:] if command == "days" else arguments, command == "days")
 
 
 if __name__ == "__main__":

@@ -18,9 +18,9 @@ from tapline.functions.addresses import is_local
 from tapline.parsers import ftp
 from tapline.session import cut
 
-# TCP flags, FTP control ports, lowest port of passive data, lifetime of pairing state.
+# TCP flags, lowest port of passive data, lifetime of pairing state.
 SYN, RST, ACK = 2, 4, 16
-CONTROL_PORTS = (21, 990)
+CONTROL_PORTS = ftp.CONTROL_PORTS
 PASSIVE_FROM = 30_000
 TTL_NS = 30 * 10**9
 EDGE = ["issuer_ip", "dst_ip", "proto", "port"]

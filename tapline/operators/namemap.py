@@ -31,6 +31,17 @@ def load(lines: DataFrame, place: Column) -> DataFrame:
     return rows.filter("ip is not null and dns <> ''").groupBy("ip", "dns").agg(F.min("ord").alias("ord"))
 
 
+def sortable(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines ``dns,ip`` of a map as distinct pairs (ip, dns), and the lines that are comments or no pair, whole.
+
+    Comments begin with ``#`` or ``-``; a pair is what stands before and after the first comma, addresses unchecked.
+    """
+    bare = F.btrim(F.col("line"), F.lit(BLANKS))
+    rows = lines.filter(bare != "").withColumns({"dns": F.btrim(F.substring_index("line", ",", 1), F.lit(BLANKS)), "ip": F.btrim(F.expr("substr(line, locate(',', line) + 1)"), F.lit(BLANKS))})
+    pair = F.contains("line", F.lit(",")) & ~bare.rlike("^[#-]") & (F.col("dns") != "") & (F.col("ip") != "")
+    return rows.filter(pair).select("ip", F.regexp_replace(F.lower("dns"), r"[.]$", "").alias("dns")).distinct(), rows.filter(~pair).select(*lines.columns)
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(canonical_ipv4(F.col("ip")).alias("ip"), canonical_name(F.col("dns")).alias("dns")).filter("ip is not null and dns <> ''")
 

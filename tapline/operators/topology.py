@@ -114,10 +114,12 @@ def attributed(edges: DataFrame, transactions: DataFrame, addresses: DataFrame,
     rows = _with_best(eligible(edges, transactions), transactions, addresses, max_age_ns)
     rows = rows.join(unambiguous(pairs), F.col("dst_ip") == F.col("ip"), "left").select("*", "best.name", "best.bits")
     inner_dst, inner_issuer = is_rfc1918(F.col("dst_ip")), is_rfc1918(F.col("issuer_ip"))
+    # A transaction without a usable name leaves a blank row, which the map fills afterwards whoever the issuer is.
     found, mapped = F.col("best").isNotNull(), F.col("map_name").isNotNull()
-    name = F.when(inner_dst, "").when(found, F.coalesce("name", F.lit(""))).otherwise(F.coalesce("map_name", F.lit("")))
-    from_tx = F.when((F.col("name") != "") & (F.col("bits") != 0), ev.label(F.col("bits").bitwiseOR(F.lit(ev.OBSERVED)))).otherwise("")
-    source = F.when(inner_dst, "").when(found, from_tx).when(inner_issuer, F.when(mapped, "csv+mid").otherwise("mid-session")).otherwise(F.when(mapped, "csv+conn").otherwise(""))
+    told = found & (F.coalesce("name", F.lit("")) != "")
+    name = F.when(inner_dst, "").when(told, F.col("name")).otherwise(F.coalesce("map_name", F.lit("")))
+    from_tx = F.when(F.col("bits") != 0, ev.label(F.col("bits").bitwiseOR(F.lit(ev.OBSERVED)))).otherwise("")
+    source = F.when(inner_dst, "").when(told, from_tx).when(found, F.when(mapped, "csv+conn").otherwise("")).when(inner_issuer, F.when(mapped, "csv+mid").otherwise("mid-session")).otherwise(F.when(mapped, "csv+conn").otherwise(""))
     who = F.col("issuer_ip") if label is None else F.coalesce(label, F.col("issuer_ip"))
     return rows.select(who.alias("issuer"), F.col("dst_ip").alias("dst"), name.alias("dns_name"), source.alias("dns_source"), "proto", "port", F.col("first_seen_ns").alias("observed_ns"), F.col("edge_ord").alias("ord"))
 

@@ -6,7 +6,7 @@ same time the later packet is taken; repeated rows count once; empty tables give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapline.functions import evidence as ev
@@ -55,6 +55,15 @@ def hello_transactions(hellos: DataFrame, compat_blank: bool = False) -> DataFra
     return rows.select("issuer_ip", "dst_ip", "port", F.col("sni").alias("dns_name"), F.col("f.ts_ns").alias("req_ts_ns"), "f.pcap_file", F.lit(0 if compat_blank else ev.SNI).alias("name_evidence"), F.lit(bits).alias("evidence"))
 
 
-def without_time_servers(transactions: DataFrame) -> DataFrame:
+def _is_time_server() -> Column:
     sni = F.coalesce(F.col("name_evidence").bitwiseAND(F.lit(ev.SNI)) != 0, F.lit(False))
-    return transactions.filter(sni | ~looks_like_time_server(F.col("dns_name")))
+    return ~sni & looks_like_time_server(F.col("dns_name"))
+
+
+def without_time_servers(transactions: DataFrame) -> DataFrame:
+    return transactions.filter(~_is_time_server())
+
+
+def time_servers(transactions: DataFrame) -> DataFrame:
+    """What ``without_time_servers`` leaves out, to be counted."""
+    return transactions.filter(_is_time_server())

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tapline.functions.addresses import BLANKS
 
+CONTROL_PORTS = (21, 990)  # fixed values: ports of control sessions
+
 
 def is_passive_command(line: Column) -> Column:
     return F.coalesce(F.upper(F.btrim(line, F.lit(BLANKS))).rlike("^(PASV|EPSV)"), F.lit(False))

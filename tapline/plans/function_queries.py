@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapline.functions import addresses, evidence, names
 from tapline.functions.hashing import fnv64
 from tapline.functions.subscribers import canonical_imsi
+from tapline.operators import transactions
 from tapline.parsers import ftp
 from tapline.plans import sqltext as S
 from tapline.plans.tables import table
@@ -69,8 +70,12 @@ def resolvable_name_strict(spark, folder):
 
 def ntp_name_filter(spark, folder):
     """Transactions that stay when time servers are left out; names seen in a client hello always stay."""
-    sni = F.col("name_evidence").bitwiseAND(F.lit(evidence.SNI)) != 0
-    return _tx(spark, folder).filter(F.coalesce(sni, F.lit(False)) | ~names.looks_like_time_server(F.col("dns_name"))).select("tx_id", "dns_name")
+    return transactions.without_time_servers(_tx(spark, folder)).select("tx_id", "dns_name")
+
+
+def ntp_dropped_count(spark, folder):
+    """How many transactions that leaves out."""
+    return transactions.time_servers(_tx(spark, folder)).agg(F.count(F.lit(1)).alias("dropped"))
 
 
 def imsi_canonical(spark, folder):
@@ -83,7 +88,7 @@ def ftp_passive_port(spark, folder):
     return rows.select("tx_id", ftp.passive_port(F.col("line")).alias("port")).filter("port is not null")
 
 
-NAMES = "canon_dns_name canon_dns_name_trim_first canon_ipv4 ip_class_flags dns_suffix evidence_label evidence_normalize source_rank endpoint_hash_fnv64 resolvable_name_loose resolvable_name_strict ntp_name_filter imsi_canonical ftp_passive_port"
+NAMES = "canon_dns_name canon_dns_name_trim_first canon_ipv4 ip_class_flags dns_suffix evidence_label evidence_normalize source_rank endpoint_hash_fnv64 resolvable_name_loose resolvable_name_strict ntp_name_filter ntp_dropped_count imsi_canonical ftp_passive_port"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _TX = "t AS (SELECT DISTINCT tx_id, dns_name, name_evidence FROM dns_tx)"
@@ -103,6 +108,7 @@ SELECT ip, CAST({S.private('ip')} AS INT) AS private, CAST({S.local('ip')} AS IN
     "endpoint_hash_fnv64": "SELECT ip, dns, protocol, port, observed_at, hash_val FROM service_endpoints",
     "resolvable_name_loose": f"WITH {_TX} SELECT tx_id, CAST({S.resolvable('dns_name')} AS INT) AS ok FROM t",
     "resolvable_name_strict": f"WITH {_TX} SELECT tx_id, CAST(coalesce(length({S.name('dns_name')}) <= 253 AND regexp_full_match({S.name('dns_name')}, '({_LABEL}[.])+{_LABEL}'), false) AS INT) AS ok FROM t",
+    "ntp_dropped_count": f"WITH {_TX} SELECT count(*) AS dropped FROM t WHERE NOT coalesce(name_evidence & 2 <> 0, false) AND {S.time_server('dns_name')}",
     "ntp_name_filter": f"WITH {_TX} SELECT tx_id, dns_name FROM t WHERE coalesce(name_evidence & 2 <> 0, false) OR NOT {S.time_server('dns_name')}",
     "imsi_canonical": f"""WITH a AS (SELECT recv_id, {_IMSI} AS i FROM radius_msgs), b AS (SELECT recv_id, regexp_replace(CASE WHEN strpos(i, '@') > 1 THEN split_part(i, '@', 1) ELSE i END, '[^0-9]', '', 'g') AS d FROM a)
 SELECT recv_id, CASE WHEN length(d) BETWEEN 14 AND 16 THEN d END AS imsi FROM b""",

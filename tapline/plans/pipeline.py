@@ -6,6 +6,9 @@ share are cut, that is written to the shared folder, so nothing is computed twic
 
 from __future__ import annotations
 
+import contextlib
+import logging
+import os
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
 from itertools import count
@@ -24,6 +27,8 @@ from tapline.sinks.rundir import RunFolder
 from tapline.sources import pcap, runout
 
 EMPTY_PAIRS = "ip string, dns string"
+SORTED_MAPS = ("dns-ip-sorted.txt", "ip-dns-sorted.txt", "ip-multi-dns-sorted.txt")
+LOG = logging.getLogger(__name__)
 
 
 @dataclass
@@ -96,10 +101,11 @@ def correlated(tx: DataFrame, ips: DataFrame, conns: DataFrame, pairs: DataFrame
 def build(spark: SparkSession, options: RunOptions, packets: DataFrame | None = None) -> Results:
     """All relations of a run. ``packets`` replaces reading captures, e.g. from Parquet partitioned by file."""
     if packets is None:
-        pcap.register(spark)
-        packets = cut(spark.read.format("pcap").load(options.read_dir))
+        packets = cut(pcap.read_captures(spark, options.read_dir))
     tx, ips = dns_transactions(packets, not options.disable_sni, options.compat_sni_blank)
     if options.ignore_ntp:
+        tx = cut(tx)
+        LOG.info("time servers: %d transactions left out", transactions.time_servers(tx).count())
         tx = transactions.without_time_servers(tx)
         ips = ips.join(tx.select("tx_id"), "tx_id", "left_semi")
     tx, ips = cut(tx), cut(ips)
@@ -195,6 +201,19 @@ def recover(spark: SparkSession, root: str, out: str) -> int:
     return n
 
 
+def sort_map(spark: SparkSession, path: str, out: str) -> None:
+    """A map file as dns-ip-sorted.txt, ip-dns-sorted.txt and ip-multi-dns-sorted.txt in a folder; the file stays.
+
+    Lines that are comments or no pair stand first in each, as they are.
+    """
+    lines = cut(runout.numbered_lines(spark, path))
+    pairs, other = namemap.sortable(lines)
+    os.makedirs(out, exist_ok=True)
+    with contextlib.ExitStack() as files:
+        opened = [files.enter_context(open(os.path.join(out, n), "w", encoding="utf-8")) for n in SORTED_MAPS]
+        text.sorted_maps(cut(pairs), *opened, first=(r.line for r in text.rows(other.orderBy("file", "line_no"))))
+
+
 def run_days(spark: SparkSession, options: RunOptions, first: date) -> list[RunFolder]:
     """One run per day folder ``<read_dir>/<YYYY-MM-DD>`` from the first on, until a day has no captures.
 

@@ -77,8 +77,8 @@ best AS (SELECT edge_ord, tx_id, name, bits FROM (SELECT *, row_number() OVER (P
 one AS (SELECT ip, min(dns) AS map_name FROM pairs GROUP BY ip HAVING count(DISTINCT dns) = 1),
 j AS (SELECT e.*, b.name, b.bits, b.tx_id IS NOT NULL AS found, o.map_name, {S.private('e.dst_ip')} AS pd, {S.private('e.issuer_ip')} AS pi
   FROM el e LEFT JOIN best b ON b.edge_ord = e.edge_ord LEFT JOIN one o ON o.ip = e.dst_ip),
-att AS (SELECT issuer_ip AS issuer, dst_ip AS dst, CASE WHEN pd THEN '' WHEN found THEN coalesce(name, '') ELSE coalesce(map_name, '') END AS dns_name,
-  CASE WHEN pd THEN '' WHEN found THEN CASE WHEN name <> '' AND bits <> 0 THEN {S.label('(bits | 32)')} ELSE '' END
+att AS (SELECT issuer_ip AS issuer, dst_ip AS dst, CASE WHEN pd THEN '' WHEN found AND name <> '' THEN name ELSE coalesce(map_name, '') END AS dns_name,
+  CASE WHEN pd THEN '' WHEN found AND name <> '' THEN CASE WHEN bits <> 0 THEN {S.label('(bits | 32)')} ELSE '' END WHEN found THEN CASE WHEN map_name IS NOT NULL THEN 'csv+conn' ELSE '' END
     WHEN pi THEN CASE WHEN map_name IS NOT NULL THEN 'csv+mid' ELSE 'mid-session' END WHEN map_name IS NOT NULL THEN 'csv+conn' ELSE '' END AS dns_source,
   proto, port, first_seen_ns AS observed_ns, edge_ord AS ord FROM j)"""
 _FOLD = f"""fold AS (SELECT issuer, dst, dns_name, dns_source, proto, port, observed_ns, o AS ord FROM (SELECT *, min(ord) OVER w AS o, row_number() OVER (PARTITION BY issuer, dst, dns_name, proto, port ORDER BY {S.rank('dns_source')} DESC, ord) AS r

@@ -40,7 +40,7 @@ class RunFolder:
         return path.open("w", encoding="utf-8", newline="")
 
     def manifest(self, read_dir: str, files: int, main_format: str, first_time: str, first_file: str, copy_to: str = "") -> Path:
-        content = {"run_id": self.run_id, "net_id": self.net_id, "run_dir": str(self.path), "output_root": str(self.root), "read_dir": os.path.abspath(read_dir), "run_started_at_utc": self.started.strftime("%Y-%m-%dT%H:%M:%S.%fZ"), "pcap_files_count": files, "main_output_format": main_format}
+        content = {"run_id": self.run_id, "net_id": self.net_id, "run_dir": str(self.path), "output_root": str(self.root), "read_dir": read_dir if ":" in read_dir.split("/")[0] else os.path.abspath(read_dir), "run_started_at_utc": self.started.strftime("%Y-%m-%dT%H:%M:%S.%fZ"), "pcap_files_count": files, "main_output_format": main_format}
         content |= {k: v for k, v in (("first_packet_ts_utc", first_time), ("first_packet_pcap_file", first_file)) if v}
         content["files"] = dict(sorted(self.files.items()))
         path = self.place(MANIFEST)

@@ -165,16 +165,31 @@ def append_pairs(path: str, pairs: Iterable[Row]) -> int:
     return n
 
 
-def sorted_maps(pairs: DataFrame, by_name: TextIO, by_address: TextIO, ambiguous: TextIO) -> None:
+def sorted_maps(pairs: DataFrame, by_name: TextIO, by_address: TextIO, ambiguous: TextIO, first: Iterable[str] = ()) -> None:
     """A map (ip, dns) in three orders: ``dns,ip`` lines, ``ip,dns`` lines by address, and the addresses with more
-    than one name as ``ip,count,a|b``."""
+    than one name as ``ip,count,a|b``. Lines of ``first`` stand above each.
+
+    Names of an address are counted beforehand and written as they come, so none is gathered in memory.
+    """
     distinct = pairs.select("ip", "dns").distinct()
-    for row in rows(distinct.orderBy("dns", ipv4_value(F.col("ip")))):
+    above = False
+    for line in first:
+        above = True
+        for out in (by_name, by_address, ambiguous):
+            out.write(f"{line}\n")
+    if above and not distinct.isEmpty():
+        for out in (by_name, by_address, ambiguous):
+            out.write("\n")
+    place = ipv4_value(F.col("ip"))
+    for row in rows(distinct.orderBy("dns", place, "ip")):
         by_name.write(f"{row.dns},{row.ip}\n")
-    for ip, group in groupby(rows(distinct.orderBy(ipv4_value(F.col("ip")), "dns")), key=lambda r: r.ip):
-        names = []
+    counted = distinct.join(distinct.groupBy("ip").agg(F.count(F.lit(1)).alias("n")), "ip")
+    for (ip, n), group in groupby(rows(counted.orderBy(place, "ip", "dns")), key=lambda r: (r.ip, r.n)):
+        lead = f"{ip},{n},"
         for row in group:
             by_address.write(f"{ip},{row.dns}\n")
-            names.append(row.dns)
-        if len(names) > 1:
-            ambiguous.write(f"{ip},{len(names)},{'|'.join(names)}\n")
+            if n > 1:
+                ambiguous.write(lead + row.dns)
+                lead = "|"
+        if n > 1:
+            ambiguous.write("\n")

@@ -134,3 +134,34 @@ def test_days_beyond_a_year(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "write", lambda _, options, folder: options.read_dir)
     done = pipeline.run_days(spark, RunOptions("in", "n", output_root="out"), date(2024, 1, 1))
     assert len(done) == (date(2025, 3, 10) - date(2024, 1, 1)).days and done[-1] == "in/2025-03-09"
+
+
+def test_source_by_uri_and_lean_payloads(spark, folder):
+    pcap.register(spark)
+    whole = spark.read.format("pcap").load(str(folder))
+    key = ["file_idx", "pcap_file", "pkt_idx", "ts_ns", "src_ip", "dst_port"]
+    assert sorted(pcap.read_captures(spark, folder.as_uri()).select(*key).collect()) == sorted(whole.select(*key).collect())
+    lean = pcap.read_captures(spark, str(folder), payloads="needed")
+    assert lean.count() == whole.count()
+    idle = "l4 = 'tcp' and dst_port = 8443 or src_port = 8443"
+    assert lean.filter("payload is not null").count() == whole.filter(f"payload is not null and not ({idle})").filter("length(payload) > 0").count()
+    with pytest.raises(FileNotFoundError):
+        pcap.read_captures(spark, folder.as_uri() + "/none")
+
+
+def test_commands(spark, folder, tmp_path, capsys):
+    from tapline.__main__ import main
+
+    (tmp_path / "in" / "2024-02-28").mkdir(parents=True)
+    (tmp_path / "in" / "2024-02-28" / "a.pcap").write_bytes((folder / "a.pcap").read_bytes())
+    main(["days", "--first-day", "2024-02-28", "-r", str(tmp_path / "in"), "--net-id", "n", "-o", str(tmp_path / "out"), "--no-banner"])
+    said = capsys.readouterr()
+    assert "2024-02-28" in said.out and "tapline:" not in said.err
+    main(["recover", str(tmp_path / "out"), str(tmp_path / "found.csv")])
+    assert (tmp_path / "found.csv").exists()
+    (tmp_path / "map.csv").write_text("# note\nB.example.,2.2.2.2\n\n- dash\nno pair\na.example, 10.0.0.1 \na.example,2.2.2.2\na.example,10.0.0.1\n")
+    main(["sort-map", str(tmp_path / "map.csv"), str(tmp_path / "maps")])
+    head = "# note\n- dash\nno pair\n\n"
+    assert (tmp_path / "maps" / "dns-ip-sorted.txt").read_text() == head + "a.example,2.2.2.2\na.example,10.0.0.1\nb.example,2.2.2.2\n"
+    assert (tmp_path / "maps" / "ip-dns-sorted.txt").read_text() == head + "2.2.2.2,a.example\n2.2.2.2,b.example\n10.0.0.1,a.example\n"
+    assert (tmp_path / "maps" / "ip-multi-dns-sorted.txt").read_text() == head + "2.2.2.2,2,a.example|b.example\n"
