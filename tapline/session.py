@@ -55,8 +55,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of working data, on whatever file system it is."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    system, place = _file_system(spark, folder)
+    system.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """A small text file on whatever file system, or None where there is none."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file, replacing what is there."""
+    system, place = _file_system(spark, path)
+    stream = system.create(place, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def task_count(df: DataFrame, rows: int, rows_per_task: int) -> int:

@@ -80,7 +80,7 @@ def test_no_evidence_means_no_source(run):
 
 
 def test_blank_rows_are_filled_from_the_map(run):
-    tx, ips, e = [(1, S, "10.0.0.1", " . ", None, None, 1)], [(1, "13.1.1.1", 0, 1)], [("10.0.0.1", "13.1.1.1", "tcp", 80, S)]
+    tx, ips, e = [(1, S, "10.0.0.1", ".", None, None, 1)], [(1, "13.1.1.1", 0, 1)], [("10.0.0.1", "13.1.1.1", "tcp", 80, S)]
     assert run(e, tx, ips, [("13.1.1.1", "m.example")]) == [("10.0.0.1", "13.1.1.1", "m.example", "csv+conn", 80)]
     assert run(e, tx, ips) == [("10.0.0.1", "13.1.1.1", "", "", 80)]
     assert run(e, tx, ips, [("13.1.1.1", "m.example"), ("13.1.1.1", "n.example")]) == [("10.0.0.1", "13.1.1.1", "", "", 80)]
