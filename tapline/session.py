@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 
@@ -86,6 +87,17 @@ def write_note(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of working data when the session's program ends, for results that are read later."""
+
+    def gone() -> None:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the session may have ended first
+                remove(spark, folder)
+
+    atexit.register(gone)
+
+
 def task_count(df: DataFrame, rows: int, rows_per_task: int) -> int:
     """Shuffle partitions for ``rows`` rows: as many as the session asks for, more where a task would get too much."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
