@@ -53,3 +53,35 @@ def test_partials_merge_and_intersect(spark):
     for a, b in itertools.combinations((0, 1, 2), 2):
         x, y = (parts.filter(F.col("day") == d).drop("day").withColumn("k", F.lit(1)) for d in (a, b))
         assert distinct.counted(distinct.common(x, y, ["k"]), ["k"]).first().n == len(sets[a] & sets[b])
+
+
+def counts_of(df):
+    return {(r.grouping, tuple("all" if r.grouping >> k & 1 else r[k] for k in range(3))): (r.s, r.d) for r in df.collect()}
+
+
+def test_stored_days_equal_the_whole(spark):
+    rows = rows_(7, 900)
+    rows += [(d, "a", -5 * (d or 0), f"late{d}", "hot2", "x", "y") for d in (0, 1, 2) for _ in range(40)]
+    for hot in (30, 100_000):
+        dims, idents = {d: F.col(d) for d in ("day", "net", "port")}, {"s": F.col("src"), "d": F.col("dst")}
+        store = distinct.BitmapStore(spark, dims, idents, task_rows=100, hot_rows=hot)
+        for day in (1, None, 0, 2):
+            some = [r for r in rows if r[0] == day]
+            store.add(spark.createDataFrame(some, SCHEMA))
+        assert counts_of(store.cube()) == brute(rows)
+        store.drop()
+
+
+def test_codes_longer_than_a_word(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    digits = [rng.integers(0, 1000, 500) for _ in range(9)]
+    word, bits = rng.integers(0, 50, 500), np.left_shift(np.uint64(1), rng.integers(0, 64, 500).astype(np.uint64))
+    assert len(distinct._packs([1000] * 9 + [50])) > 1
+    for grouping, group, w, b in distinct._lattice(digits, [1000] * 9, word, bits):
+        want = {}
+        for k in range(500):
+            key = (*(0 if grouping >> n & 1 else int(d[k]) for n, d in enumerate(digits)), int(word[k]))
+            want[key] = want.get(key, 0) | int(bits[k])
+        assert {(*(int(g[k]) for g in group), int(w[k])): int(b[k]) for k in range(len(b))} == want
