@@ -1,13 +1,17 @@
 """Keyword-stuffed pages, link lists and product-tag lists in place of text.
 
-A text is cut into units (lines, and sentences within a line). For every word the gaps to the previous and next
-occurrence of the same term are measured. Within a unit, terms that return within a short lag, measured over the
-content words only, tell unnaturally regular repetition from prose, where it is the function words that return;
-the autocorrelation of term positions, the share of words whose term was last seen exactly ``lag`` words before,
-maximised over a window of lags, tells fixed patterns and is given out with the score. Lists of many distinct
-nouns or links are told by having hardly any function words: of all such units of a text together, the share of
-words that did not occur shortly before. Log excerpts, tables of connections and command lines are recognised by
-their form and never count. A document is reported if the greater part of its words stands in such units.
+The terms of a text are a sequence of positions. Its autocorrelation at a lag is the share of content words whose
+term also stands exactly that many words before; summed over the lags up to ``LAG`` it is the mass of regular
+repetition. In prose it is the function words that return, and the mass of content words stays far below ``MASS``;
+pages of repeated keywords, links or tags lie above it. A text below has no repetition that counts.
+
+Which words take part is told unit by unit (lines, and sentences within a line), from the recurrence gaps to the
+previous and next occurrence of the same term and from the share of function words. Lists of many distinct nouns or
+links repeat nothing and are told by having hardly any function words: of all such units of a text together, the
+share of words that did not occur shortly before. Log lines, rows of tables and command lines are told from lists by
+what they are made of: at least two, and an eighth of the words, are addresses, times, settings, options, paths or
+levels. Marks around a text, such as fences, exempt nothing. A document is reported if the greater part of its words
+stands in such units.
 
 Every document is judged by itself, whole, in one pass without a shuffle. The decision uses fixed, documented
 thresholds that were set on labelled documents; no limit depends on the size of the data.
@@ -45,12 +49,14 @@ FUNCTION = frozenset(
     al antes con como cuando de del desde donde dos el ella en entre era es esa ese esta este están está fue ha han hasta hay la las lo los más mi muy nada
     ni no nos o para pero por porque que se según ser si sin sobre son su sus también todo un una y ya""".split()
 )
-TIMED = re.compile(r"^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
-IP = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b")
-OPTION = re.compile(r"(?:^|\s)(?:--[a-z][a-z-]*|-[a-z])(?:[ =]|$)")
-LAG = 40  # words within which a returning term counts as repetition in a list
+# What machines write: addresses, times, settings, options, paths, levels, protocols.
+MACHINE = re.compile(
+    r"""(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?<!\S)[A-Za-z_][\w.-]*=[^"'\s]|(?<!\S)--?[A-Za-z][\w-]*(?=[ =]|$)"""
+    r"""|(?<!\S)~?\.{0,2}(?:/[\w.-]+)+/?(?!\S)|(?<!\S)(?:DEBUG|INFO|WARN|WARNING|ERROR|tcp|udp)(?!\S)"""
+)
+LAG = 40  # words within which a returning term counts as repetition, and lags over which the autocorrelation is summed
+MASS = 0.45  # mass of the autocorrelation from which repetition is not that of prose
 TIGHT = 8  # the same in sentences, where whole sentences may well return later
-MAX_LAG = 25  # lags over which the autocorrelation is maximised
 DISTINCT = 0.5  # share of the words of bare units that did not occur within the lag before, from which they list distinct nouns
 LISTED = 20  # words such a list has at least
 STEM = 7  # letters that variations of a keyword share
@@ -65,34 +71,40 @@ class _Numbers(dict):
         return n
 
 
-def _rows_follow(lines: list[str], k: int) -> bool:
-    """Whether a row with an address stands below line ``k``, a head of a table, apart from a rule."""
-    below = next((x for x in lines[k + 1 : k + 3] if x.strip(" |:+-")), "")
-    return below.count("|") >= 3 and IP.search(below) is not None
+def is_technical(line: str) -> bool:
+    made = len(MACHINE.findall(line))
+    return made >= 2 and 8 * made >= len(WORD.findall(line))
 
 
 def units_of(text: str) -> Iterator[tuple[str, bool]]:
     """(unit, technical) in order."""
-    lines = text.split("\n")
-    marks = [k for k, line in enumerate(lines) if line.lstrip().startswith("```")]
-    closed = len(marks) // 2 * 2
-    fences, fenced = set(marks[:closed]), False
-    for k, line in enumerate(lines):
-        if k in fences:
-            fenced = not fenced
-            continue
+    for line in text.split("\n"):
         if not line.strip():
             continue
-        table = line.count("|") >= 3 and (IP.search(line) or "destination" in line and _rows_follow(lines, k))
-        if fenced or TIMED.match(line) or (OPTION.search(line) and "/" in line) or table:
+        if is_technical(line):
             yield line, True
-            continue
-        for part in SENTENCE.split(line):
-            yield part, False
+        else:
+            for part in SENTENCE.split(line):
+                yield part, False
+
+
+def autocorrelation(code: np.ndarray, lags: int = LAG) -> np.ndarray:
+    """For each lag from 1 on the number of positions whose code also stands that many places before; negative codes
+    stand for places that are left out."""
+    at = np.flatnonzero(code >= 0)
+    at = at[np.argsort(code[at], kind="stable")]
+    code, found = code[at], np.zeros(lags, dtype=np.int64)
+    for k in range(1, lags + 1):  # the k-th occurrence before, until none lies within reach
+        apart = at[k:] - at[:-k]
+        apart = apart[(code[k:] == code[:-k]) & (apart <= lags)]
+        if not len(apart):
+            break
+        found += np.bincount(apart, minlength=lags + 1)[1:]
+    return found
 
 
 def spam_share(text: str | None) -> tuple[float, float]:
-    """The share of words that stands in repeated keywords, links or tags; the peak of the autocorrelation."""
+    """The share of words that stands in repeated keywords, links or tags; the mass of the autocorrelation."""
     if not text:
         return 0.0, 0.0
     words: list[str] = []
@@ -132,20 +144,21 @@ def spam_share(text: str | None) -> tuple[float, float]:
     bare = plain & (share_f <= 0.08) & (2 * c >= size)
     fresh = sums(content & (back > LAG))[bare].sum()
     distinct = bare & (fresh >= DISTINCT * c[bare].sum()) & (c[bare].sum() >= LISTED)
-    hits = plain & (listed | dressed) | distinct
-    at_lag = np.bincount(gap[gap < MAX_LAG], minlength=3)[2:]
-    return float(size[hits].sum() / n), float(at_lag.max() / n)
+    counted = content & np.repeat(plain, size)
+    mass = autocorrelation(np.where(counted, code, -1)).sum() / max(1, counted.sum())
+    hits = plain & (listed | dressed) | distinct if mass >= MASS else distinct
+    return float(size[hits].sum() / n), float(mass)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shares = [spam_share(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in shares], pa.float64()), pa.array([p for _, p in shares], pa.float64())], names=["doc_id", "share", "peak"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in shares], pa.float64()), pa.array([m for _, m in shares], pa.float64())], names=["doc_id", "share", "mass"])
 
 
 def scored(documents: DataFrame) -> DataFrame:
-    """(doc_id, share, peak) of every document."""
-    return spread(documents.select("doc_id", "text")).mapInArrow(_judge, "doc_id bigint, share double, peak double")
+    """(doc_id, share, mass) of every document."""
+    return spread(documents.select("doc_id", "text")).mapInArrow(_judge, "doc_id bigint, share double, mass double")
 
 
 def spam_pages(documents: DataFrame, share: float = 0.5) -> DataFrame:

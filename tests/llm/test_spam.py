@@ -62,3 +62,41 @@ def test_short_headings_are_no_list():
 @pytest.mark.parametrize("text", ["```\n" + STUFFED[0], "\n".join(["sim card | destination sim | buy sim card | sim"] * 9), "\n".join(f"sim card -sale http://x{i}.test/sim" for i in range(9))])
 def test_loose_marks_do_not_excuse(text):
     assert spam.spam_share(text)[0] > 0.5
+
+
+@pytest.mark.parametrize("before", ["```\n", "2024-05-01 10:00:00 ", "2024-05-01T10:00 WARN ", "| | | destination ", "--sale /buy "])
+@pytest.mark.parametrize("text", [STUFFED[0], STUFFED[3]])
+def test_marks_before_a_page_do_not_excuse(before, text):
+    assert spam.spam_share(before + text)[0] > 0.5
+
+
+@pytest.mark.parametrize("folder", ["sf0.1", "check_s"])
+def test_held_out_labels(folder):
+    """The mass was set between the two kinds of the half of sf0.1's labels with an even checksum; this is the rest."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    place = f"/root/testdata/{folder}"
+    texts = dict(zip(*(pq.read_table(f"{place}/documents.parquet", columns=["doc_id", "text"])[c].to_pylist() for c in ("doc_id", "text")), strict=True))
+    votes = pq.read_table(f"{place}/spam_labels.parquet").to_pandas().groupby("doc_id").is_spam.agg(["sum", "count"])
+    sure = votes[(votes["count"] > 1) & ((votes["sum"] == 0) | (votes["sum"] == votes["count"]))]
+    found = right = spam_pages = 0
+    for doc, row in sure.iterrows():
+        if folder == "sf0.1" and zlib.crc32(str(doc).encode()) % 2 == 0:
+            continue
+        said, true = spam.spam_share(texts[doc])[0] > 0.5, row["sum"] > 0
+        found, right, spam_pages = found + said, right + (said and true), spam_pages + true
+    assert right >= 0.95 * spam_pages > 0 and right >= 0.95 * found
+
+
+def test_autocorrelation_counts_all_pairs_at_a_lag():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    code = [rng.choice([-1, 0, 0, 1, 2, 3]) for _ in range(300)]
+    want = [sum(code[i] >= 0 and code[i] == code[i - lag] for i in range(lag, 300)) for lag in range(1, 41)]
+    assert spam.autocorrelation(np.array(code)).tolist() == want
+    assert spam.autocorrelation(np.array([], dtype=np.int64)).sum() == 0
