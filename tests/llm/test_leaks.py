@@ -41,3 +41,19 @@ def test_random_and_blocks(spark):
 
 def test_empty(spark):
     assert run_(spark, [(1, TEXT)], [(1, "x")]) == set()
+
+
+def test_long_items_and_hot_shingles(spark):
+    rng = random.Random(16)
+    words = ["a", "b", "c", "d"]
+    boiler = " ".join(rng.choices(words, k=30))
+    docs = [(k, " ".join(rng.choices(words, k=rng.randint(0, 30))) + " " + (boiler if k % 3 else "")) for k in range(60)]
+    items = [(1, " ".join(rng.choices(words, k=400))), (2, boiler + " x"), (3, "y " + boiler), (4, " ".join(rng.choices(words, k=15)))]
+    for more in ({"block_words": 200}, {"salt_rows": 4}, {"block_words": 300, "salt_rows": 2}):
+        assert run_(spark, docs, items, run=6, gram=3, **more) == brute(docs, items, 6)
+
+
+def test_blocks_are_bounded(spark):
+    items = spark.createDataFrame([(k, "w " * n) for k, n in enumerate([500, 3, 90, 40, 13, 700])], "item_id bigint, text string")
+    sizes = [sum(len(r.text.split()) for r in b.collect()) for b in leaks._blocks(items, 100, 13)]
+    assert max(sizes) <= 100 and sum(sizes) >= 1343

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from tapline.llm import nearest
 
 
-def run(spark, left, right, tol, **more):
+def run(spark, left, right, tol, by=nearest.nearest, **more):
     a = spark.createDataFrame(left, "lid bigint, who string, t bigint, bucket string, entity string")
     b = spark.createDataFrame(right, "rid bigint, who string, t bigint")
-    out = nearest.nearest(a, b, left_id="lid", left_entity=F.col("who"), left_time="t", right_id="rid", right_entity=F.col("who"), right_time="t", tolerance=tol, **more)
+    out = by(a, b, left_id="lid", left_entity=F.col("who"), left_time="t", right_id="rid", right_entity=F.col("who"), right_time="t", tolerance=tol, **more)
     rows = [tuple(r) for r in out.collect()]
     assert len(rows) == len({r[0] for r in rows})
     return {r[0]: (r[1], r[2]) for r in rows}
@@ -48,3 +48,20 @@ def test_hot_buckets_are_sliced(spark):
 
 def test_empty(spark):
     assert run(spark, [(1, "a", 1, "", "")], [(1, "b", 1)], 5) == {}
+
+
+def test_one_instant_is_split(spark):
+    rng = random.Random(15)
+    left = [(i, "h", rng.choice([50, 50, 50, 51, 70]), "", "") for i in range(120)]
+    right = [(i, "h", rng.choice([40, 52, 52, 52, 90])) for i in range(80)]
+    for hot in (3, 10):
+        assert run(spark, left, right, 12, hot_rows=hot) == brute(left, right, 12)
+
+
+def test_join_gives_the_same(spark):
+    rng = random.Random(24)
+    for tol, span, most in ((5, 300, 10_000), (40, 60, 50), (7, 40, 0)):
+        left = [(i, rng.choice(["h", "h", "a", None]), rng.choice([None, *range(-span, span)]), "", "") for i in range(200)]
+        right = [(i, rng.choice(["h", "h", "a", None]), rng.choice([None, *range(-span, span)])) for i in range(120)]
+        assert run(spark, left, right, tol, by=nearest.nearest_by_join, most_pairs=most) == brute(left, right, tol)
+    assert run(spark, [(1, "a", 1, "", "")], [(1, "b", 1)], 5, by=nearest.nearest_by_join) == {}
