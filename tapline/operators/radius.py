@@ -1,8 +1,8 @@
 """RADIUS accounting: repeated messages dropped, sessions built, fragments joined, addresses labelled.
 
 Edge cases: messages without identity, address or time make no session; a missing session id is ``-``; windows
-that end before they start are left out; equal messages are ordered by (time, session id, status); empty tables
-give empty results.
+that end before they start are left out; messages of equal time are ordered by session id, status and, the longer
+first, session time; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def sessions(messages: DataFrame, emit_open: bool = False) -> DataFrame:
     rows = rows.select("imsi", "ip", F.when(F.coalesce("sid", F.lit("")) == "", "-").otherwise(F.col("sid")).alias("sid"), "ts_ms", "sess_time_sec", F.when(F.col("status").isin(START, INTERIM, STOP), F.col("status")).otherwise(INTERIM).alias("status"))
     tail = rows.agg(F.max("ts_ms")).first()[0] or 0
     out = pa.schema([("imsi", pa.string()), ("ip", pa.string()), ("sid", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("provisional", pa.bool_())])
-    return run_ordered(rows, ["imsi", "ip"], ["ts_ms", "sid", "status"], lambda: _Sessions(tail, emit_open), "imsi string, ip string, sid string, start_ms bigint, end_ms bigint, provisional boolean", out)
+    return run_ordered(rows, ["imsi", "ip"], ["ts_ms", "sid", "status", F.coalesce("sess_time_sec", F.lit(0)).desc()], lambda: _Sessions(tail, emit_open), "imsi string, ip string, sid string, start_ms bigint, end_ms bigint, provisional boolean", out)
 
 
 def coalesced(windows: DataFrame, reach_ms: int = JOIN_MS) -> DataFrame:

@@ -204,7 +204,42 @@ gd AS (SELECT f.* FROM fb f JOIN conns c USING (conn_id) JOIN tx t ON t.tx_id =
 _WIN = f"""w0 AS (SELECT DISTINCT session_row, {IMSI} AS imsi, {S.address('ip')} AS ip, coalesce(nullif(sid, ''), '-') AS sid, start_ms AS s, CASE WHEN end_ms IS NULL OR end_ms = 0 THEN 9223372036854775807 ELSE end_ms END AS e FROM radius_sessions WHERE {IMSI} IS NOT NULL AND ip IS NOT NULL AND start_ms IS NOT NULL),
 w1 AS (SELECT * FROM w0 WHERE e >= s)"""
 
+# The sequential rules, one row after another.
+_SEQUENTIAL = f"""{_LINK}, ev AS (SELECT issuer_ip, req_ts_ns AS t, 0 AS c, tx_id, NULL::BIGINT AS conn_id, {S.name('dns_name')} AS n, NULL::VARCHAR[] AS known, NULL::INT AS file_idx, NULL::BIGINT AS pkt_idx FROM un
+  UNION ALL SELECT issuer_ip, ts_ns, 1, NULL, conn_id, NULL, k.dns, file_idx, pkt_idx FROM nk LEFT JOIN (SELECT ip, list(dns) AS dns FROM pairs GROUP BY ip) k ON k.ip = dst_ip),
+rk AS (SELECT *, row_number() OVER (PARTITION BY issuer_ip ORDER BY t, c, file_idx NULLS FIRST, pkt_idx NULLS FIRST, tx_id NULLS FIRST) AS k FROM ev),
+run AS (SELECT DISTINCT issuer_ip, 0::BIGINT AS k, []::STRUCT(i BIGINT, t BIGINT, n VARCHAR)[] AS open, NULL::BIGINT AS conn_id, NULL::BIGINT AS tx_id, NULL::BIGINT AS dt_ns FROM rk
+  UNION ALL SELECT issuer_ip, k, CASE WHEN c = 0 THEN list_append(live, {{'i': i, 't': t, 'n': n}}) WHEN hit THEN live[2:] ELSE live END, CASE WHEN hit THEN conn_id END, CASE WHEN hit THEN live[1].i END, CASE WHEN hit THEN t - live[1].t END
+  FROM (SELECT *, c = 1 AND len(live) = 1 AND (known IS NULL OR list_contains(known, live[1].n)) AS hit
+    FROM (SELECT r.issuer_ip, r.k, r.t, r.c, r.tx_id AS i, r.conn_id, r.n, r.known, list_filter(s.open, lambda u: u.t >= r.t - 5000000000) AS live FROM run s JOIN rk r ON r.issuer_ip = s.issuer_ip AND r.k = s.k + 1)))"""
+_TTL = f"""m AS (SELECT recv_id, epoch_ms(recv_ts) AS t, concat_ws('|', {IMSI}, {S.address('ip')}, lower(trim(sid)), status, ts_ms) AS key FROM radius_msgs WHERE recv_ts IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, recv_id) AS k FROM m),
+run AS (SELECT key, k, recv_id, t AS kept, true AS keep FROM rk WHERE k = 1
+  UNION ALL SELECT r.key, r.k, r.recv_id, CASE WHEN r.t - s.kept > 7200000 THEN r.t ELSE s.kept END, r.t - s.kept > 7200000 FROM run s JOIN rk r ON r.key = s.key AND r.k = s.k + 1)"""
+_W = "STRUCT(sid VARCHAR, s BIGINT, e BIGINT, p BOOLEAN)[]"
+_SESSIONS = f"""m AS (SELECT {IMSI} AS imsi, {S.address('ip')} AS ip, coalesce(nullif(lower(trim(sid)), ''), '-') AS sid, ts_ms AS t, greatest(coalesce(sess_time_sec, 0), 0) * 1000 AS back, CASE WHEN status IN (1, 2, 3) THEN status ELSE 2 END AS status
+  FROM radius_msgs WHERE {IMSI} IS NOT NULL AND {S.address('ip')} <> '' AND ts_ms IS NOT NULL AND coalesce(status, 0) <> 0),
+tail AS (SELECT max(t) AS tail FROM m),
+rk AS (SELECT *, row_number() OVER (PARTITION BY imsi, ip ORDER BY t, sid, status, back DESC) AS k FROM m),
+run AS (SELECT DISTINCT imsi, ip, 0::BIGINT AS k, []::{_W} AS open, []::{_W} AS closed, []::{_W} AS said FROM m
+  UNION ALL SELECT imsi, ip, k,
+    CASE WHEN status = 1 THEN [CASE WHEN t BETWEEN w.s - 5000 AND w.e + 5000 THEN {{'sid': sid, 's': w.s, 'e': w.e, 'p': false}} ELSE {{'sid': sid, 's': t, 'e': t, 'p': false}} END]
+      WHEN status = 3 THEN others WHEN w IS NOT NULL THEN list_append(others, {{'sid': sid, 's': w.s, 'e': greatest(w.e, t), 'p': w.p}})
+      WHEN len(out) > 0 THEN open ELSE list_append(open, {{'sid': sid, 's': t - back, 'e': t, 'p': true}}) END,
+    list_concat(list_filter(closed, lambda x: NOT list_contains(list_transform(out, lambda y: y.sid), x.sid)), out), out
+  FROM (SELECT *, CASE WHEN status = 1 THEN list_transform(others, lambda x: {{'sid': x.sid, 's': x.s, 'e': CASE WHEN x.e >= t THEN t - 1 ELSE x.e END, 'p': x.p}})
+      WHEN status = 3 THEN [CASE WHEN w IS NOT NULL THEN {{'sid': sid, 's': w.s, 'e': t, 'p': w.p}} ELSE {{'sid': sid, 's': t - back, 'e': t, 'p': false}} END]
+      WHEN w IS NULL AND d IS NOT NULL AND t - d.e <= 120000 THEN [{{'sid': sid, 's': d.s, 'e': t, 'p': d.p}}] ELSE []::{_W} END AS out
+    FROM (SELECT r.*, s.open, s.closed, list_filter(s.open, lambda x: x.sid <> r.sid) AS others, list_filter(s.open, lambda x: x.sid = r.sid)[1] AS w, list_filter(s.closed, lambda x: x.sid = r.sid)[1] AS d
+      FROM run s JOIN rk r ON r.imsi = s.imsi AND r.ip = s.ip AND r.k = s.k + 1))),
+ends AS (SELECT imsi, ip, max(k) AS k FROM run GROUP BY imsi, ip),
+all_ AS (SELECT imsi, ip, unnest(said) AS x FROM run UNION ALL
+  SELECT imsi, ip, {{'sid': x.sid, 's': x.s, 'e': least(x.e, tail), 'p': x.p}} FROM (SELECT imsi, ip, unnest(open) AS x FROM run JOIN ends USING (imsi, ip, k)), tail WHERE x.p OR x.e <= tail - 21600000)"""
+
 SQL = {
+    "conn_fallback_sequential": f"WITH RECURSIVE {_SEQUENTIAL} SELECT conn_id, tx_id, dt_ns FROM run WHERE conn_id IS NOT NULL",
+    "radius_dedup_ttl": f"WITH RECURSIVE {_TTL} SELECT recv_id FROM run WHERE keep",
+    "radius_sessions": f"WITH RECURSIVE {_SESSIONS} SELECT imsi, ip, x.sid AS sid, x.s AS start_ms, x.e AS end_ms, x.p AS provisional FROM all_",
     "first_packet": f"WITH {D.PACKETS} SELECT ts_ns, pcap_file FROM packets ORDER BY ts_ns, file_idx LIMIT 1",
     "tcp_handshake_edges": f"WITH {D.PACKETS}, {_ACK}, {_shake('ans', 'sh')} SELECT * FROM sh",
     "tcp_midsession_edges": f"WITH {D.PACKETS}, {_SYN}, {_MIDE} SELECT file_idx, issuer_ip, dst_ip, 'tcp' AS proto, port, min(ts_ns) AS first_seen_ns FROM mide GROUP BY ALL",

@@ -74,7 +74,7 @@ def sessions(messages: DataFrame, late: str = "10 minutes", idle_ms: int = 6 * 3
             out = [(*key, sid, *w) for sid, w in machine.open.items()]
             state.remove()
         else:
-            frame = pd.concat(parts).sort_values(["ts_ms", "sid", "status"])
+            frame = pd.concat(parts).fillna({"sess_time_sec": 0}).sort_values(["ts_ms", "sid", "status", "sess_time_sec"], ascending=[True, True, True, False])
             for row in frame.to_dict("records"):
                 row["sess_time_sec"] = 0 if pd.isna(row["sess_time_sec"]) else int(row["sess_time_sec"])
                 out += machine.step(row)
