@@ -19,10 +19,12 @@ texts are packed each for itself; an empty table gives an empty result; only id
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +41,19 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str = VOCABULARY):
-    """The tokenizer of a rank file, loaded once per worker."""
+    """The tokenizer of a rank file, loaded once per worker; where the path is not mounted, from what the job brought."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[path] = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens) of every text."""
+    """(doc_id, tokens) of every text. The vocabulary, one file of bounded size, is shipped with the job."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
