@@ -150,8 +150,14 @@ def radius_label_lookup(spark, folder):
     return radius.labels(R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip"), _windows(spark, folder), "tx_id", F.col("issuer_ip"), floor_div(F.col("req_ts_ns"), 1_000_000))
 
 
+def radius_label_digits(spark, folder):
+    """Labels of 14, 15 and 16 digits, made from the stored identities."""
+    imsi = F.when(F.col("session_row") % 3 == 0, F.substring("imsi", 1, 14)).when(F.col("session_row") % 3 == 1, F.col("imsi")).otherwise(F.concat("imsi", F.lit("7")))
+    return radius.labels(R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip"), _windows(spark, folder).withColumn("imsi", imsi), "tx_id", F.col("issuer_ip"), floor_div(F.col("req_ts_ns"), 1_000_000))
+
+
 NAMES = """first_packet tcp_handshake_edges tcp_midsession_edges udp_pair_edges udp_private_source ftp_exact_suppress ftp_highport_suppress file_edges edge_cross_file_dedup edges_collected dns_query_response_match dns_answer_evidence
-dns_tx_merge sni_dedup conn_asof_direct conn_first_after conn_fallback_unique_snapshot conn_fallback_sequential csv_guard best_candidate observed_conn_evidence radius_dedup_ttl radius_sessions radius_coalesce radius_label_lookup"""
+dns_tx_merge sni_dedup conn_asof_direct conn_first_after conn_fallback_unique_snapshot conn_fallback_sequential csv_guard best_candidate observed_conn_evidence radius_dedup_ttl radius_sessions radius_coalesce radius_label_lookup radius_label_digits"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _SYN = "tcp AS (SELECT * FROM packets WHERE l4 = 'tcp' AND src_port <> 0 AND dst_port <> 0), syn AS (SELECT * FROM tcp WHERE tcp_flags & 2 <> 0 AND tcp_flags & 16 = 0)"
@@ -267,5 +273,7 @@ SELECT tx_id, ip, min(ord) AS ord, CAST(bit_or(evidence) AS INT) AS evidence FRO
     "radius_coalesce": f"""WITH {_WIN}, a AS (SELECT *, CASE WHEN e > 9223372036854655807 THEN e ELSE e + 120000 END AS r FROM w1), b AS (SELECT *, max(r) OVER (PARTITION BY imsi, ip, sid ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a),
 c AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY imsi, ip, sid ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM b)
 SELECT imsi, ip, sid, min(s) AS start_ms, nullif(max(e), 9223372036854775807) AS end_ms FROM c GROUP BY imsi, ip, sid, g""",
+    "radius_label_digits": f"""WITH {S.TX}, {_WIN}, w2 AS (SELECT ip, s, e, CASE session_row % 3 WHEN 0 THEN left(imsi, 14) WHEN 1 THEN imsi ELSE imsi || '7' END AS imsi FROM w1)
+SELECT tx_id, min(imsi) AS imsi FROM tx JOIN w2 ON tx.issuer_ip = w2.ip AND req_ts_ns // 1000000 BETWEEN s AND e GROUP BY tx_id""",
     "radius_label_lookup": f"WITH {S.TX}, {_WIN} SELECT tx_id, min(imsi) AS imsi FROM tx JOIN w1 ON tx.issuer_ip = w1.ip AND req_ts_ns // 1000000 BETWEEN s AND e GROUP BY tx_id",
 }

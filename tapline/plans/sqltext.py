@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from tapline.functions import evidence, names
-from tapline.functions.addresses import RFC1918, SHARED, SPECIAL
 from tapline.plans.data_queries import _IP, ADDRESS
 
+# Fixed values, written out here once more so that the comparison does not take them from what it checks: address
+# blocks as first and last address, tokens of evidence bits, ranks of labels, labels of time servers.
+RFC1918 = [("10.0.0.0", "10.255.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.168.0.0", "192.168.255.255")]
+SHARED = [("100.64.0.0", "100.127.255.255")]
+SPECIAL = [("0.0.0.0", "0.255.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("192.0.2.0", "192.0.2.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"), ("224.0.0.0", "239.255.255.255")]
+TOKENS = "concat_ws('+', CASE WHEN {b} & 1 <> 0 THEN 'dns' END, CASE WHEN {b} & 2 <> 0 THEN 'sni' END, CASE WHEN {b} & 4 <> 0 THEN 'active' END, CASE WHEN {b} & 8 <> 0 THEN 'csv' END, CASE WHEN {b} & 16 <> 0 THEN 'conn' END, CASE WHEN {b} & 32 <> 0 THEN 'synack' END)"
+RANKS = "(CASE WHEN {s} IN ('dns+synack', 'dns+conn+synack', 'sni+synack', 'sni+conn+synack', 'active+synack', 'active+conn+synack') THEN 30 WHEN {s} IN ('csv+conn', 'csv+mid') THEN 20 WHEN {s} = 'mid-session' THEN 10 WHEN {s} = '' THEN 0 ELSE 15 END)"
+RECOVERY_RANKS = "(CASE {s} WHEN 'dns+synack' THEN 100 WHEN 'dns+conn+synack' THEN 90 WHEN 'sni+synack' THEN 80 WHEN 'sni+conn+synack' THEN 70 WHEN 'active+synack' THEN 60 WHEN 'active+conn+synack' THEN 50 WHEN 'csv+conn' THEN 40 WHEN 'csv+mid' THEN 30 WHEN 'mid-session' THEN 20 WHEN '' THEN 0 ELSE 10 END)"
+TIME_LABEL = "(^|[.])(ntp|time|timesync|sntp|ntpd|chrony|chronyd|(ntp|time|timesync)(-[^.]+|[0-9]+))([.]|$)"
+
 TRIM = "trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
@@ -26,9 +34,14 @@ def value(ip: str) -> str:
     return "(" + " + ".join(f"CAST(split_part({ip}, '.', {k + 1}) AS BIGINT) * {256 ** (3 - k)}" for k in range(4)) + ")"
 
 
-def within(ip: str, blocks: list) -> str:
+def within(ip: str, blocks: list[tuple[str, str]]) -> str:
     v = value(ip)
-    return "coalesce(" + " OR ".join(f"({v} BETWEEN {((a * 256 + b) * 256 + c) * 256} AND {((a * 256 + b) * 256 + c) * 256 + 2 ** (32 - n) - 1})" for a, b, c, n in blocks) + ", false)"
+    return "coalesce(" + " OR ".join(f"({v} BETWEEN {number(first)} AND {number(last)})" for first, last in blocks) + ", false)"
+
+
+def number(ip: str) -> int:
+    a, b, c, d = map(int, ip.split("."))
+    return ((a * 256 + b) * 256 + c) * 256 + d
 
 
 def private(ip: str) -> str:
@@ -52,17 +65,15 @@ def name_trim_first(c: str) -> str:
 
 
 def label(bits: str) -> str:
-    return "concat_ws('+', " + ", ".join(f"CASE WHEN {bits} & {b} <> 0 THEN '{t}' END" for b, t in evidence.TOKENS) + ")"
+    return TOKENS.format(b=bits)
 
 
 def rank(source: str) -> str:
-    s = f"lower(trim(coalesce({source}, '')))"
-    return "(CASE " + " ".join(f"WHEN {s} IN ({', '.join(repr(x) for x in labels)}) THEN {r}" for r, labels in evidence.SOURCE_RANK.items()) + f" ELSE {evidence.OTHER_RANK} END)"
+    return RANKS.format(s=f"lower(trim(coalesce({source}, '')))")
 
 
 def recovery_rank(source: str) -> str:
-    s = f"lower(trim(coalesce({source}, '')))"
-    return f"(CASE {s} " + " ".join(f"WHEN {x!r} THEN {r}" for x, r in evidence.RECOVERY_RANK.items()) + f" ELSE {evidence.OTHER_RECOVERY_RANK} END)"
+    return RECOVERY_RANKS.format(s=f"lower(trim(coalesce({source}, '')))")
 
 
 def resolvable(c: str) -> str:
@@ -72,8 +83,7 @@ def resolvable(c: str) -> str:
 
 def time_server(c: str) -> str:
     n = name(c)
-    inner = names.TIME_LABEL_PATTERN[1:-1]
-    return f"coalesce({n} <> '' AND (regexp_matches({n}, '(^|[.]){inner.replace('.+', '[^.]+')}([.]|$)') OR contains({n}, 'timesync') OR contains({n}, 'chrony')), false)"
+    return f"coalesce({n} <> '' AND (regexp_matches({n}, '{TIME_LABEL}') OR contains({n}, 'timesync') OR contains({n}, 'chrony')), false)"
 
 
 def suffix(c: str) -> str:
