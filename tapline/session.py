@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -111,3 +112,29 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _hashed(values: np.ndarray) -> np.ndarray:
+    """Spark's hash of BIGINT values (Murmur 3 of 32 bits, the seed 42), as hash partitioning uses it."""
+    # Seed and constants of the published hash.
+    with np.errstate(over="ignore"):
+        turn = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
+        h = np.full(len(values), 42, dtype=np.uint32)
+        for half in (values & 0xFFFFFFFF, values >> 32):
+            h ^= turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+            h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(8)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+def partition_labels(n: int) -> list[int]:
+    """``n`` numbers of which hash partitioning into ``n`` partitions, or buckets, sends one to each, in that order."""
+    found, start = np.full(n, -1, dtype=np.int64), 0
+    while (found < 0).any():
+        some = np.arange(start, start + 16 * n, dtype=np.int64)
+        at, first = np.unique(_hashed(some).astype(np.int64) % n, return_index=True)
+        found[at] = np.where(found[at] < 0, some[first], found[at])
+        start += 16 * n
+    return found.tolist()

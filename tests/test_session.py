@@ -52,3 +52,14 @@ def test_remove(spark, tmp_path):
     session.remove(spark, f"file:{tmp_path}/t")
     assert not (tmp_path / "t").exists()
     session.remove(spark, f"file:{tmp_path}/t")
+
+
+def test_labels_fill_every_partition_once(spark):
+    from pyspark.sql import functions as F
+
+    from tapline.session import partition_labels
+
+    for n in (1, 2, 12, 97):
+        rows = spark.createDataFrame([(x,) for x in partition_labels(n)], "x bigint").repartition(n, "x")
+        assert [r.x for r in rows.withColumn("p", F.spark_partition_id()).orderBy("p").collect()] == partition_labels(n)
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == n
