@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapline.functions.numbers import floor_div
-from tapline.session import cut, remove, remove_at_exit, shared_folder, task_count
+from tapline.session import cut, partition_labels, remove, remove_at_exit, shared_folder, task_count
 
 WORD_BITS = 64
 BUCKETS = 256
@@ -253,6 +253,7 @@ class BitmapStore:
         self.codes: dict[str, DataFrame] = {}
         self.hot: DataFrame | None = None
         self.buckets = 0
+        self.labels: list[int] = []  # of the buckets, chosen so that each is a task of its own
         self.added = 0
         remove_at_exit(spark, self.folder)
 
@@ -267,6 +268,9 @@ class BitmapStore:
         rows.write.format("parquet").bucketBy(self.buckets, "bucket").option("path", f"{self.folder}/{what}").mode("append").saveAsTable(f"{self.name}_{what}")
         self.tables[what] = 1
 
+    def _bucket(self, *columns: str) -> Column:
+        return F.element_at(F.lit(self.labels), (F.pmod(F.xxhash64(*columns), F.lit(self.buckets)) + 1).cast("int")).cast("bigint")
+
     def _stored(self, what: str) -> DataFrame:
         return self.spark.read.table(f"{self.name}_{what}")
 
@@ -302,7 +306,7 @@ class BitmapStore:
 
     def _number(self, ids: DataFrame) -> None:
         """Give new identifiers (kind, id) the next places of their buckets and store them."""
-        ids = ids.withColumn("bucket", F.pmod(F.xxhash64("kind", "id"), F.lit(self.buckets)))
+        ids = ids.withColumn("bucket", self._bucket("kind", "id"))
         if "ids" in self.tables:
             known = self._stored("ids")
             top = known.groupBy("bucket", "kind").agg(F.max("place").alias("top"))
@@ -328,6 +332,7 @@ class BitmapStore:
         groups = seen.filter(F.col("level") == level(range(len(names)))).select(*names, "rows", "bare")
         total = groups.agg(F.sum("rows")).first()[0] or 0
         self.buckets = self.buckets or task_count(rows, total, self.task_rows)
+        self.labels = self.labels or partition_labels(self.buckets)
         self._code_dimensions(groups)
         ids = None
         for k, kind in enumerate(kinds):
@@ -360,7 +365,7 @@ class BitmapStore:
             found = found.select(*[packing.digit(k).alias(f"d{k}") for k in range(len(names))], "kind", word, bit.alias("bit"))
             found = found.groupBy(*[f"d{k}" for k in range(len(names))], "kind", "word").agg(F.bit_or("bit").alias("bits"))
             self._store(found.withColumn("bucket", F.lit(0).cast("bigint")).select("bucket", "kind", *[f"d{k}" for k in range(len(names))], "word", "bits"), "hot")
-        tall = tall.withColumn("bucket", F.pmod(F.xxhash64("kind", "id"), F.lit(self.buckets))).repartition(self.buckets, "bucket")
+        tall = tall.withColumn("bucket", self._bucket("kind", "id")).repartition(self.buckets, "bucket")
         shape = "bucket bigint, kind int, " + ", ".join(f"d{k} bigint" for k in range(len(names))) + ", word bigint, bits bigint"
         built = tall.groupBy("bucket").cogroup(self._stored("ids").groupBy("bucket")).applyInArrow(_build_task(packing.fields, len(packing.packs), len(kinds)), shape)
         self._store(built, "words")
@@ -392,7 +397,7 @@ class BitmapStore:
         words = self._stored("words").select("bucket", *packing.packed(), "kind", "word", "bits")
         parts = words.groupBy("bucket").applyInArrow(_count_task(packing.fields, len(packing.packs), n, False), shape + ", ".join(f"n{k} bigint" for k in range(n))).drop("word")
         if "hot" in self.tables:
-            hot = self._stored("hot").select(*packing.packed(), "kind", "word", "bits").withColumn("task", F.pmod(F.xxhash64(*packing.names), F.lit(self.buckets)))
+            hot = self._stored("hot").select(*packing.packed(), "kind", "word", "bits").withColumn("task", self._bucket(*packing.names))
             united = hot.groupBy("task").applyInArrow(_count_task(packing.fields, len(packing.packs), n, True), shape + "bits bigint").groupBy(*key, "word").agg(F.bit_or("bits").alias("bits"))
             members = F.bit_count("bits").cast("bigint")
             parts = parts.unionByName(united.select(*key, *[F.when(F.col("word") % n == k, members).otherwise(F.lit(0).cast("bigint")).alias(f"n{k}") for k in range(n)]))
