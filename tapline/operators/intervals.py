@@ -12,7 +12,7 @@ continues the period and one that starts later opens a gap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapline.functions.numbers import floor_div
@@ -28,10 +28,16 @@ def usable(windows: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     return rows.filter(F.col("entity").isNotNull() & F.col("start").isNotNull() & (F.col("end") >= F.col("start")))
 
 
+def _chunk(time: str, chunk: int) -> Column:
+    """Number of the chunk. Times are not null, but Spark must see that: a join would else filter one of its sides by
+    it, which would then not be the same as the other any more, and be read and shuffled for itself."""
+    return F.coalesce(floor_div(F.col(time), chunk), F.lit(0).cast("bigint"))
+
+
 def marked(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
     """One row per (entity, start) with the greatest ``end`` from there, ``before``, the greatest end of all
     earlier starts (null for the first), and ``island``, the period's number within the entity from 1 on."""
-    cells = rows.withColumn("chunk", floor_div(F.col("start"), chunk)).repartition("entity", "chunk")
+    cells = rows.withColumn("chunk", _chunk("start", chunk)).repartition("entity", "chunk")
     cells = cells.groupBy("entity", "chunk", "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
     inside = Window.partitionBy("entity", "chunk").orderBy("start")
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +60,7 @@ def gaps(rows: DataFrame, chunk: int = CHUNK_MS) -> DataFrame:
 
     Periods are looked through by chunks of time; the last end of each chunk is carried on to the next.
     """
-    found = periods(rows, chunk).withColumn("chunk", floor_div(F.col("period_start"), chunk))
+    found = periods(rows, chunk).withColumn("chunk", _chunk("period_start", chunk))
     inside = Window.partitionBy("entity", "chunk").orderBy("period_start")
     last = found.groupBy("entity", "chunk").agg(F.max("period_end").alias("top"))
     carry = last.select("entity", "chunk", F.lag("top").over(Window.partitionBy("entity").orderBy("chunk")).alias("carry"))
