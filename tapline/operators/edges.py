@@ -2,8 +2,8 @@
 
 Packets have file_idx, pkt_idx, ts_ns, src_ip, dst_ip, l4, src_port, dst_port, tcp_flags and payload (text or
 bytes of FTP control lines); packet order within a file is (ts_ns, pkt_idx). Pairing state lives TTL after the
-first packet. All pairing is done with windows over flows or joins with one row per flow, so a flood of packets
-of one flow stays linear and is folded before it is shuffled on.
+first packet. All pairing is done with windows over stretches of a flow or joins with one row per flow, so a flood of
+packets of one flow stays linear, is spread over time and is folded before it is shuffled on.
 
 Edge cases: packets without addresses or with port 0 make no edge; equal times are ordered by packet number;
 repeated packets change nothing; an empty table gives no edges.
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapline.functions.addresses import is_local
+from tapline.functions.numbers import floor_div
+from tapline.operators import radius
 from tapline.parsers import ftp
 from tapline.session import cut
 
@@ -24,6 +26,7 @@ CONTROL_PORTS = ftp.CONTROL_PORTS
 PASSIVE_FROM = 30_000
 TTL_NS = 30 * 10**9
 EDGE = ["issuer_ip", "dst_ip", "proto", "port"]
+FLOW = ["file_idx", "issuer_ip", "dst_ip", "cport", "port"]
 
 
 def _flag(bit: int) -> Column:
@@ -38,25 +41,41 @@ def _excluded(c: str, ports: tuple[int, ...]) -> Column:
     return F.col(c).isin(*ports) if ports else F.lit(False)
 
 
-def _syns(packets: DataFrame, excluded: tuple[int, ...]) -> DataFrame:
+def _syns(packets: DataFrame, excluded: tuple[int, ...], ttl_ns: int, first_only: bool) -> DataFrame:
     rows = _tcp(packets).filter(_flag(SYN) & ~_flag(ACK) & ~_excluded("dst_port", excluded))
-    return rows.select("file_idx", F.col("src_ip").alias("issuer_ip"), F.col("dst_ip"), F.col("src_port").alias("cport"), F.col("dst_port").alias("port"), "ts_ns", "pkt_idx", F.lit(0).alias("kind"))
+    rows = rows.select("file_idx", F.col("src_ip").alias("issuer_ip"), F.col("dst_ip"), F.col("src_port").alias("cport"), F.col("dst_port").alias("port"), "ts_ns", "pkt_idx", F.lit(0).alias("kind"))
+    if not first_only:
+        return rows
+    rows = rows.withColumn("_row", F.col("file_idx").cast("bigint") * F.lit(1 << 40) + F.col("pkt_idx"))
+    kept = radius.first_in_window(rows, F.concat_ws("|", *FLOW), F.col("ts_ns"), "_row", ttl_ns)
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
-def handshake_events(packets: DataFrame, excluded: tuple[int, ...] = (), ttl_ns: int = TTL_NS) -> DataFrame:
-    """Answers to a live request: one row per SYN-ACK that has a SYN of its flow at most TTL before."""
+def _in_chunks(rows: DataFrame, ttl_ns: int, beside: int = 0) -> DataFrame:
+    """Rows with ``chunk``, their stretch of TTL, and again with the one ``beside`` it if that is not 0. Pairs at most
+    TTL apart then meet in a chunk, and a flow of any length is spread over its chunks."""
+    own = floor_div(F.col("ts_ns"), ttl_ns)
+    return rows.withColumn("chunk", F.explode(F.array(own, own + beside)) if beside else own)
+
+
+def handshake_events(packets: DataFrame, excluded: tuple[int, ...] = (), ttl_ns: int = TTL_NS, first_only: bool = False) -> DataFrame:
+    """Answers to a live request: one row per SYN-ACK that has a SYN of its flow at most TTL before.
+
+    With ``first_only`` a request repeated while an earlier one of its flow lives does not count, and does not
+    prolong it.
+    """
     rows = _tcp(packets).filter(_flag(SYN) & _flag(ACK) & ~_excluded("src_port", excluded))
     answers = rows.select("file_idx", F.col("dst_ip").alias("issuer_ip"), F.col("src_ip").alias("dst_ip"), F.col("dst_port").alias("cport"), F.col("src_port").alias("port"), "ts_ns", "pkt_idx", F.lit(1).alias("kind"))
-    both = _syns(packets, excluded).unionByName(answers)
-    flow = Window.partitionBy("file_idx", "issuer_ip", "dst_ip", "cport", "port").orderBy("ts_ns", "pkt_idx").rowsBetween(Window.unboundedPreceding, 0)
+    both = _in_chunks(_syns(packets, excluded, ttl_ns, first_only), ttl_ns, 1).unionByName(_in_chunks(answers, ttl_ns))
+    flow = Window.partitionBy(*FLOW, "chunk").orderBy("ts_ns", "pkt_idx").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("asked", F.last(F.when(F.col("kind") == 0, F.col("ts_ns")), ignorenulls=True).over(flow))
-    return both.filter((F.col("kind") == 1) & (F.col("ts_ns") - F.col("asked") <= ttl_ns)).select("file_idx", "issuer_ip", "dst_ip", "cport", "port", "ts_ns", "pkt_idx")
+    return both.filter((F.col("kind") == 1) & (F.col("ts_ns") - F.col("asked") <= ttl_ns)).select(*FLOW, "ts_ns", "pkt_idx")
 
 
-def handshakes(packets: DataFrame, answers: DataFrame, excluded: tuple[int, ...] = (), ttl_ns: int = TTL_NS) -> DataFrame:
+def handshakes(packets: DataFrame, answers: DataFrame, excluded: tuple[int, ...] = (), ttl_ns: int = TTL_NS, first_only: bool = False) -> DataFrame:
     """Edges of answered requests, at the time of the earliest request that an answer followed within TTL."""
-    both = _syns(packets, excluded).unionByName(answers.withColumn("kind", F.lit(1)))
-    ahead = Window.partitionBy("file_idx", "issuer_ip", "dst_ip", "cport", "port").orderBy(F.desc("ts_ns"), F.desc("pkt_idx")).rowsBetween(Window.unboundedPreceding, 0)
+    both = _in_chunks(_syns(packets, excluded, ttl_ns, first_only), ttl_ns).unionByName(_in_chunks(answers.withColumn("kind", F.lit(1)), ttl_ns, -1))
+    ahead = Window.partitionBy(*FLOW, "chunk").orderBy(F.desc("ts_ns"), F.desc("pkt_idx")).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("answered", F.last(F.when(F.col("kind") == 1, F.col("ts_ns")), ignorenulls=True).over(ahead))
     live = both.filter((F.col("kind") == 0) & (F.col("answered") - F.col("ts_ns") <= ttl_ns))
     return live.groupBy("file_idx", "issuer_ip", "dst_ip", "port").agg(F.min("ts_ns").alias("first_seen_ns")).select("file_idx", "issuer_ip", "dst_ip", F.lit("tcp").alias("proto"), "port", "first_seen_ns")
@@ -73,8 +92,8 @@ def _folded(events: DataFrame, proto: str) -> DataFrame:
     return events.groupBy("file_idx", "issuer_ip", "dst_ip", "port").agg(F.min("ts_ns").alias("first_seen_ns")).select("file_idx", "issuer_ip", "dst_ip", F.lit(proto).alias("proto"), "port", "first_seen_ns")
 
 
-def handshake_edges(packets: DataFrame, excluded: tuple[int, ...] = (), ttl_ns: int = TTL_NS) -> DataFrame:
-    return handshakes(packets, handshake_events(packets, excluded, ttl_ns), excluded, ttl_ns)
+def handshake_edges(packets: DataFrame, excluded: tuple[int, ...] = (), ttl_ns: int = TTL_NS, first_only: bool = False) -> DataFrame:
+    return handshakes(packets, handshake_events(packets, excluded, ttl_ns, first_only), excluded, ttl_ns, first_only)
 
 
 def midsession_edges(packets: DataFrame) -> DataFrame:
@@ -107,11 +126,12 @@ def passive_ports(packets: DataFrame) -> DataFrame:
 def without_announced(events: DataFrame, announced: DataFrame, ttl_ns: int = TTL_NS) -> DataFrame:
     """Events on a port announced at most TTL before go."""
     key = ["file_idx", "issuer_ip", "dst_ip", "port"]
-    both = events.withColumn("_a", F.lit(None).cast("bigint")).unionByName(announced.select(*key, "ts_ns", "pkt_idx", F.col("ts_ns").alias("_a")), allowMissingColumns=True)
-    past = Window.partitionBy(*key).orderBy("ts_ns", "pkt_idx").rowsBetween(Window.unboundedPreceding, -1)
+    told = _in_chunks(announced.select(*key, "ts_ns", "pkt_idx", F.col("ts_ns").alias("_a")), ttl_ns, 1)
+    both = _in_chunks(events.withColumn("_a", F.lit(None).cast("bigint")), ttl_ns).unionByName(told, allowMissingColumns=True)
+    past = Window.partitionBy(*key, "chunk").orderBy("ts_ns", "pkt_idx").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last("_a", ignorenulls=True).over(past)
     both = both.withColumn("_last", last).filter("_a is null")
-    return both.filter(F.col("_last").isNull() | (F.col("ts_ns") - F.col("_last") > ttl_ns)).drop("_a", "_last")
+    return both.filter(F.col("_last").isNull() | (F.col("ts_ns") - F.col("_last") > ttl_ns)).drop("_a", "_last", "chunk")
 
 
 def without_passive_range(events: DataFrame, passive_from: int = PASSIVE_FROM) -> DataFrame:

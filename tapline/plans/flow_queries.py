@@ -30,6 +30,11 @@ def tcp_handshake_edges(spark, folder):
     return edges.handshake_edges(_packets(spark, folder))
 
 
+def tcp_first_request_edges(spark, folder):
+    """Handshakes of first requests only, repeats of a live one left out."""
+    return edges.handshake_edges(_packets(spark, folder), first_only=True)
+
+
 def tcp_midsession_edges(spark, folder):
     return edges.midsession_edges(_packets(spark, folder))
 
@@ -156,7 +161,7 @@ def radius_label_digits(spark, folder):
     return radius.labels(R.transactions(spark, folder, "tx_id req_ts_ns issuer_ip"), _windows(spark, folder).withColumn("imsi", imsi), "tx_id", F.col("issuer_ip"), floor_div(F.col("req_ts_ns"), 1_000_000))
 
 
-NAMES = """first_packet tcp_handshake_edges tcp_midsession_edges udp_pair_edges udp_private_source ftp_exact_suppress ftp_highport_suppress file_edges edge_cross_file_dedup edges_collected dns_query_response_match dns_answer_evidence
+NAMES = """first_packet tcp_handshake_edges tcp_first_request_edges tcp_midsession_edges udp_pair_edges udp_private_source ftp_exact_suppress ftp_highport_suppress file_edges edge_cross_file_dedup edges_collected dns_query_response_match dns_answer_evidence
 dns_tx_merge sni_dedup conn_asof_direct conn_first_after conn_fallback_unique_snapshot conn_fallback_sequential csv_guard best_candidate observed_conn_evidence radius_dedup_ttl radius_sessions radius_coalesce radius_label_lookup radius_label_digits"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
@@ -248,6 +253,13 @@ SQL = {
     "radius_sessions": f"WITH RECURSIVE {_SESSIONS} SELECT imsi, ip, x.sid AS sid, x.s AS start_ms, x.e AS end_ms, x.p AS provisional FROM all_",
     "first_packet": f"WITH {D.PACKETS} SELECT ts_ns, pcap_file FROM packets ORDER BY ts_ns, file_idx LIMIT 1",
     "tcp_handshake_edges": f"WITH {D.PACKETS}, {_ACK}, {_shake('ans', 'sh')} SELECT * FROM sh",
+    "tcp_first_request_edges": f"""WITH RECURSIVE {D.PACKETS}, tcp AS (SELECT * FROM packets WHERE l4 = 'tcp' AND src_port <> 0 AND dst_port <> 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY file_idx, src_ip, dst_ip, src_port, dst_port ORDER BY ts_ns, pkt_idx) AS k FROM tcp WHERE tcp_flags & 2 <> 0 AND tcp_flags & 16 = 0),
+run AS (SELECT file_idx, src_ip, dst_ip, src_port, dst_port, k, ts_ns, pkt_idx, ts_ns AS kept, true AS keep FROM rk WHERE k = 1
+  UNION ALL SELECT r.file_idx, r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.k, r.ts_ns, r.pkt_idx, CASE WHEN r.ts_ns - s.kept > 30000000000 THEN r.ts_ns ELSE s.kept END, r.ts_ns - s.kept > 30000000000
+  FROM run s JOIN rk r ON r.file_idx = s.file_idx AND r.src_ip = s.src_ip AND r.dst_ip = s.dst_ip AND r.src_port = s.src_port AND r.dst_port = s.dst_port AND r.k = s.k + 1)
+SELECT s.file_idx, s.src_ip AS issuer_ip, s.dst_ip, 'tcp' AS proto, s.dst_port AS port, min(s.ts_ns) AS first_seen_ns FROM run s JOIN tcp a ON keep AND a.tcp_flags & 2 <> 0 AND a.tcp_flags & 16 <> 0 AND s.file_idx = a.file_idx AND s.src_ip = a.dst_ip AND s.dst_ip = a.src_ip
+  AND s.src_port = a.dst_port AND s.dst_port = a.src_port AND (s.ts_ns, s.pkt_idx) < (a.ts_ns, a.pkt_idx) AND a.ts_ns - s.ts_ns <= 30000000000 GROUP BY 1, 2, 3, 5""",
     "tcp_midsession_edges": f"WITH {D.PACKETS}, {_SYN}, {_MIDE} SELECT file_idx, issuer_ip, dst_ip, 'tcp' AS proto, port, min(ts_ns) AS first_seen_ns FROM mide GROUP BY ALL",
     "udp_pair_edges": f"WITH {D.PACKETS}, {_udp(False)} SELECT * FROM ue",
     "udp_private_source": f"WITH {D.PACKETS}, {_udp(True)} SELECT file_idx, issuer_ip, dst_ip, proto, port, min(first_seen_ns) AS first_seen_ns FROM ue GROUP BY ALL",

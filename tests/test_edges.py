@@ -79,3 +79,27 @@ def test_merged(spark):
 
 def test_empty(packets):
     assert edges.collected(packets([udp(0, A, B, 1, 2)]).limit(0)).count() == 0
+
+
+def test_first_request_rule(packets):
+    syn = lambda t: (t, A, B, "tcp", 6000, 443, 2, None)
+    back = lambda t: (t, B, A, "tcp", 443, 6000, 18, None)
+    late = packets([syn(0), syn(20 * S), back(35 * S)])
+    assert [r.first_seen_ns for r in edges.handshake_edges(late).collect()] == [20 * S]
+    assert edges.handshake_edges(late, first_only=True).count() == 0
+    again = packets([syn(0), syn(20 * S), syn(31 * S), back(45 * S)])
+    assert [r.first_seen_ns for r in edges.handshake_edges(again, first_only=True).collect()] == [31 * S]
+
+
+def test_long_flow_against_brute_force(packets):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(4):
+        events = sorted((rng.randrange(0, 400), k, rng.choice([2, 18])) for k in range(60))
+        df = packets([(t * S, A, B, "tcp", 6000, 443, 2, None) if f == 2 else (t * S, B, A, "tcp", 443, 6000, 18, None) for t, _, f in events])
+        rows = [(t, k, f) for k, (t, _, f) in enumerate(events)]
+        want = sorted(k for t, k, f in rows if f == 18 and any(g == 2 and (u, j) < (t, k) and t - u <= 30 for u, j, g in rows))
+        assert sorted(r.pkt_idx for r in edges.handshake_events(df).collect()) == want
+        live = [u for u, j, g in rows if g == 2 and any(f == 18 and (t, k) > (u, j) and t - u <= 30 for t, k, f in rows)]
+        assert [r.first_seen_ns for r in edges.handshake_edges(df).collect()] == ([min(live) * S] if live else [])
