@@ -5,7 +5,7 @@ normalised content and one for that of each of its three parts (the paragraphs o
 is shuffled to the buckets and joined there: whole hashes find full copies, part hashes find near copies, which are
 confirmed on the text. What remains is compared with itself in the same way, decided in order, and its hashes are
 appended. The history is neither shuffled nor normalised again; a batch small enough to be broadcast does not even
-make it sort. Every ``compact_every`` appends the files of a bucket are merged into one.
+make it sort. Inside a file whole and part hashes stand apart, so that only those asked for are read. Every ``compact_every`` appends the files of a bucket are merged into one.
 
 The folder holds a note of what the table is like, so it can be opened again, in another session too, and goes on
 with what was accepted. A batch taken twice, e.g. after a crash, finds its own rows but only compares itself with
@@ -43,7 +43,6 @@ from tapline.operators.carry import run_ordered
 from tapline.session import cut, read_note, remove, shared_folder, write_note
 
 DISTANCE = 2
-BUCKETS = 24
 CROWD = 2000  # texts of one batch that may share a key before it is refined
 LONG = 64  # characters around a part up to which it is refined
 COMPACT_EVERY = 16
@@ -190,7 +189,7 @@ def _decided(fresh: DataFrame, crowded: DataFrame | None) -> DataFrame:
 class AcceptedPairs:
     """Everything accepted so far, as a bucketed table of hashes under one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY):
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 0, compact_every: int = COMPACT_EVERY):
         self.spark, self.compact_every = spark, compact_every
         self.folder = folder or f"{shared_folder(spark)}/accepted-{uuid.uuid4().hex[:12]}"
         said = read_note(spark, self._note)
@@ -212,7 +211,7 @@ class AcceptedPairs:
         return f"accepted_{hashlib.md5(self.folder.encode()).hexdigest()[:12]}_{generation}"
 
     def _create(self, generation: int) -> None:
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(generation)} ({SCHEMA}) USING parquet CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/keys-{generation}'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(generation)} ({SCHEMA}) USING parquet CLUSTERED BY (key) SORTED BY (kind, key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/keys-{generation}'")
 
     @property
     def empty(self) -> bool:
@@ -222,7 +221,7 @@ class AcceptedPairs:
         return self.spark.read.table(self._name(self.generation)).filter(F.col("kind") == kind).drop("kind")
 
     def _store(self, rows: DataFrame, generation: int) -> None:
-        rows.repartition(self.buckets, "key").sortWithinPartitions("key").write.insertInto(self._name(generation))
+        rows.repartition(self.buckets, "key").write.insertInto(self._name(generation))
 
     def append(self, accepted: DataFrame) -> None:
         """Add accepted pairs, columns (ord, ip, name, digits)."""
