@@ -49,10 +49,10 @@ FUNCTION = frozenset(
     al antes con como cuando de del desde donde dos el ella en entre era es esa ese esta este están está fue ha han hasta hay la las lo los más mi muy nada
     ni no nos o para pero por porque que se según ser si sin sobre son su sus también todo un una y ya""".split()
 )
-# What machines write: addresses, times, settings, options, paths, levels, protocols.
+# What machines write, between blanks: addresses, times, settings, options, paths, levels, protocols.
 MACHINE = re.compile(
-    r"""(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?<!\S)[A-Za-z_][\w.-]*=[^"'\s]|(?<!\S)--?[A-Za-z][\w-]*(?=[ =]|$)"""
-    r"""|(?<!\S)~?\.{0,2}(?:/[\w.-]+)+/?(?!\S)|(?<!\S)(?:DEBUG|INFO|WARN|WARNING|ERROR|tcp|udp)(?!\S)"""
+    r"""[^\w/~=.-]*(?:\d{1,3}(?:\.\d{1,3}){3}(?![\w.])|\d{4}-\d\d-\d\d(?:T\d\d:\d\d|$)|[A-Za-z_][\w.-]*=[^"'\s]|--?[A-Za-z][\w-]*(?:=|$)|~?\.{0,2}(?:/[\w.-]+)+/?$"""
+    r"""|(?:DEBUG|INFO|WARN|WARNING|ERROR|tcp|udp)$)"""
 )
 LAG = 40  # words within which a returning term counts as repetition, and lags over which the autocorrelation is summed
 MASS = 0.45  # mass of the autocorrelation from which repetition is not that of prose
@@ -72,7 +72,7 @@ class _Numbers(dict):
 
 
 def is_technical(line: str) -> bool:
-    made = len(MACHINE.findall(line))
+    made = sum(map(bool, map(MACHINE.match, line.split())))
     return made >= 2 and 8 * made >= len(WORD.findall(line))
 
 
@@ -110,7 +110,7 @@ def spam_share(text: str | None) -> tuple[float, float]:
     words: list[str] = []
     bounds, technical = [0], []
     for unit, tech in units_of(text):
-        w = WORD.findall(TAG.sub(" ", unit).lower())
+        w = WORD.findall((TAG.sub(" ", unit) if "<" in unit else unit).lower())
         if not w:
             continue
         for k in range(0, len(w), UNIT):
@@ -121,33 +121,33 @@ def spam_share(text: str | None) -> tuple[float, float]:
     if not n:
         return 0.0, 0.0
     seen, stems = _Numbers(), _Numbers()
-    code = np.array(list(map(seen.__getitem__, words)))
-    func = np.array(list(map(FUNCTION.__contains__, seen)))[code]
-    number = np.array(list(map(str.isdigit, seen)))[code]
+    code = np.array([seen[w] for w in words])
+    func = np.array([w in FUNCTION for w in seen])[code]
+    content = ~func & ~np.array([w.isdigit() for w in seen])[code]
     # Variations of a keyword, with a number or another word appended, are one term.
     code = np.array([stems[t.rstrip("0123456789")[:STEM] or t] for t in seen])[code]
+    edge = np.array(bounds)
+    size = edge[1:] - edge[:-1]
+    sums = lambda x: np.add.reduceat(x, edge[:-1], dtype=np.int64)
+    c, share_f, plain = sums(content), sums(func) / size, ~np.array(technical)
+    counted = content & np.repeat(plain, size)
+    mass = float(autocorrelation(np.where(counted, code, -1)).sum() / max(1, counted.sum()))
+    bare = plain & (share_f <= 0.08) & (2 * c >= size)
+    if mass < MASS and c[bare].sum() < LISTED:
+        return 0.0, mass
     order = np.argsort(code, kind="stable")
     same = code[order][1:] == code[order][:-1]
     gap = np.where(same, order[1:] - order[:-1], n + LAG)
     back, ahead = np.full(n, n + LAG), np.full(n, n + LAG)
     back[order[1:]], ahead[order[:-1]] = gap, gap
     nearest = np.minimum(back, ahead)
-    content = ~func & ~number
-    edge = np.array(bounds)
-    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[edge])
-    size, c, f = np.diff(edge), sums(content), sums(func)
     r, tight = (sums(content & (nearest <= lag)) / np.maximum(c, 1) for lag in (LAG, TIGHT))
-    plain = ~np.array(technical)
-    share_f = f / size
     listed = (share_f <= 0.08) & (r >= 0.3) | (share_f <= 0.16) & (r >= 0.55)
     dressed = (tight >= 0.5) & (c >= 3)
-    bare = plain & (share_f <= 0.08) & (2 * c >= size)
     fresh = sums(content & (back > LAG))[bare].sum()
     distinct = bare & (fresh >= DISTINCT * c[bare].sum()) & (c[bare].sum() >= LISTED)
-    counted = content & np.repeat(plain, size)
-    mass = autocorrelation(np.where(counted, code, -1)).sum() / max(1, counted.sum())
     hits = plain & (listed | dressed) | distinct if mass >= MASS else distinct
-    return float(size[hits].sum() / n), float(mass)
+    return float(size[hits].sum() / n), mass
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
