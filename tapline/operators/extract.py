@@ -1,12 +1,14 @@
 """Packets turned into DNS messages, client hellos and accounting messages.
 
 Payloads are parsed in Arrow batches; protocol and ports are filtered beforehand, where the source can do it, and
-payloads go no further than here. Edge cases: payloads that do not parse give no row; null payloads are skipped.
+payloads go no further than here. Further kinds of messages are added with ``register`` and read with ``extracted``;
+runs that need other payloads than the built-in ones read their captures with all payloads. Edge cases: payloads that do not parse give no row; null payloads are skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,41 +40,82 @@ def _port(ports: tuple[int, ...]) -> Column:
     return F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)
 
 
-def dns_messages(packets: DataFrame) -> DataFrame:
-    """Queries and responses; issuer and resolver as seen from the query, whichever way the packet went."""
+@dataclass(frozen=True)
+class Extractor:
+    """One kind of message: which packets to look at, and what a packet gives.
 
-    def row(p: dict) -> tuple | None:
-        m = dns.parse(p["payload"], p["l4"], p["src_port"], p["dst_port"], bool(p["truncated"]))
-        if m is None:
-            return None
-        asked = (p["src_ip"], p["src_port"], p["dst_ip"]) if m.query else (p["dst_ip"], p["dst_port"], p["src_ip"])
-        return (m.query, *asked, p["l4"], m.dns_id, m.name, m.answers)
+    ``row`` gets a packet as a dict and returns a tuple of the columns in ``schema``, whose Arrow types are ``arrow``,
+    or None.
+    """
 
-    schema = "is_query boolean, issuer_ip string, src_port int, resolver_ip string, proto string, dns_id int, name string, answers array<string>"
-    arrow = [("is_query", pa.bool_()), ("issuer_ip", pa.string()), ("src_port", pa.int32()), ("resolver_ip", pa.string()), ("proto", pa.string()), ("dns_id", pa.int32()), ("name", pa.string()), ("answers", pa.list_(pa.string()))]
-    return _parsed(packets.filter(_port((53,))), row, schema, arrow)
+    name: str
+    wanted: Callable[[], Column]
+    row: Callable[[dict], tuple | None]
+    schema: str
+    arrow: list[tuple[str, pa.DataType]]
 
 
-def hellos(packets: DataFrame) -> DataFrame:
-    """Client hellos with a server name; cut packets are left alone."""
+EXTRACTORS: dict[str, Extractor] = {}
 
-    def row(p: dict) -> tuple | None:
-        name = tls.server_name(p["payload"])
-        return (p["src_ip"], p["dst_ip"], p["dst_port"], name) if name and p["dst_port"] else None
 
-    some = packets.filter("l4 = 'tcp' and not truncated and hex(substring(payload, 1, 1)) = '16'")
-    return _parsed(some, row, "issuer_ip string, dst_ip string, port int, sni string", [("issuer_ip", pa.string()), ("dst_ip", pa.string()), ("port", pa.int32()), ("sni", pa.string())])
+def register(extractor: Extractor) -> Extractor:
+    """Make a kind of message known by its name; a name is given once."""
+    if extractor.name in EXTRACTORS:
+        raise ValueError(f"there is an extractor {extractor.name!r} already")
+    EXTRACTORS[extractor.name] = extractor
+    return extractor
 
 
-def accounting(packets: DataFrame) -> DataFrame:
-    """Accounting messages before repeats are dropped."""
+def extracted(packets: DataFrame, name: str) -> DataFrame:
+    """The messages of a registered kind, after the packet's place."""
+    e = EXTRACTORS[name]
+    return _parsed(packets.filter(e.wanted()), e.row, e.schema, e.arrow)
+
+
+def _dns(p: dict) -> tuple | None:
+    m = dns.parse(p["payload"], p["l4"], p["src_port"], p["dst_port"], bool(p["truncated"]))
+    if m is None:
+        return None
+    asked = (p["src_ip"], p["src_port"], p["dst_ip"]) if m.query else (p["dst_ip"], p["dst_port"], p["src_ip"])
+    return (m.query, *asked, p["l4"], m.dns_id, m.name, m.answers)
+
+
+def _hello(p: dict) -> tuple | None:
+    name = tls.server_name(p["payload"])
+    return (p["src_ip"], p["dst_ip"], p["dst_port"], name) if name and p["dst_port"] else None
+
+
+def _accounting(p: dict) -> tuple | None:
+    return radius.accounting(p["payload"], p["src_ip"], p["src_port"])
 
-    def row(p: dict) -> tuple | None:
-        return radius.accounting(p["payload"], p["src_ip"], p["src_port"])
 
-    schema = "imsi string, ip string, sid string, sess_time_sec bigint, status int, dedup_key string"
-    arrow = [("imsi", pa.string()), ("ip", pa.string()), ("sid", pa.string()), ("sess_time_sec", pa.int64()), ("status", pa.int32()), ("dedup_key", pa.string())]
-    return _parsed(packets.filter("l4 = 'udp'").filter(_port(tuple(sorted(radius.PORTS)))), row, schema, arrow)
+register(Extractor(
+    "dns", lambda: _port((53,)), _dns, "is_query boolean, issuer_ip string, src_port int, resolver_ip string, proto string, dns_id int, name string, answers array<string>",
+    [("is_query", pa.bool_()), ("issuer_ip", pa.string()), ("src_port", pa.int32()), ("resolver_ip", pa.string()), ("proto", pa.string()), ("dns_id", pa.int32()), ("name", pa.string()), ("answers", pa.list_(pa.string()))],
+))
+register(Extractor(
+    "hello", lambda: F.expr("l4 = 'tcp' and not truncated and hex(substring(payload, 1, 1)) = '16'"), _hello, "issuer_ip string, dst_ip string, port int, sni string",
+    [("issuer_ip", pa.string()), ("dst_ip", pa.string()), ("port", pa.int32()), ("sni", pa.string())],
+))
+register(Extractor(
+    "accounting", lambda: (F.col("l4") == "udp") & _port(tuple(sorted(radius.PORTS))), _accounting, "imsi string, ip string, sid string, sess_time_sec bigint, status int, dedup_key string",
+    [("imsi", pa.string()), ("ip", pa.string()), ("sid", pa.string()), ("sess_time_sec", pa.int64()), ("status", pa.int32()), ("dedup_key", pa.string())],
+))
+
+
+def dns_messages(packets: DataFrame) -> DataFrame:
+    """Queries and responses; issuer and resolver as seen from the query, whichever way the packet went."""
+    return extracted(packets, "dns")
+
+
+def hellos(packets: DataFrame) -> DataFrame:
+    """Client hellos with a server name; cut packets are left alone."""
+    return extracted(packets, "hello")
+
+
+def accounting(packets: DataFrame) -> DataFrame:
+    """Accounting messages before repeats are dropped."""
+    return extracted(packets, "accounting")
 
 
 def deduplicated_accounting(packets: DataFrame) -> DataFrame:

@@ -131,18 +131,40 @@ def topology_json(out: TextIO, matrix: DataFrame) -> None:
 
 
 def external_endpoints(out: TextIO, members: DataFrame) -> None:
-    """Blocks per suffix from rows (suffix, kind, value), then all ports seen."""
-    order = F.when(F.col("kind").isin("tcp", "udp"), F.lpad("value", 5, "0")).otherwise(F.col("value"))
+    """Blocks per suffix from rows (suffix, kind, value), then all ports seen.
+
+    Ports come first, then names, then addresses, and are written as they come; only ports are remembered.
+    """
+    value = F.when(F.col("kind").isin("tcp", "udp"), F.lpad("value", 5, "0")).otherwise(F.col("value"))
+    place = F.when(F.col("kind") == "name", 1).when(F.col("kind") == "ip", 2).otherwise(0)
     everywhere: dict[str, set[int]] = {"udp": set(), "tcp": set()}
-    quoted = lambda values: ", ".join(f'"{v}"' for v in values)
-    for suffix, group in groupby(rows(members.orderBy("suffix", "kind", order)), key=lambda r: r.suffix):
-        kinds = {k: [r.value for r in g] for k, g in groupby(group, key=lambda r: r.kind)}
+    for suffix, group in groupby(rows(members.withColumn("place", place).orderBy("suffix", "place", "kind", value)), key=lambda r: r.suffix):
         out.write(f'- id: "svc_{suffix}"\n  group: "{suffix}"\n  match: {{ dns_suffix: "{suffix}" }}\n  listeners:\n')
-        for proto in sorted(set(kinds) - {"name", "ip"}):
-            out.write(f'    - {{ proto: "{proto}", port: [{",".join(kinds[proto])}] }}\n')
-            everywhere.setdefault(proto, set()).update(map(int, kinds[proto]))
-        out.write('  ip_churn_expected: true\n  grouping_key: ["dns_suffix", "proto", "dst_port"]\n  observations:\n')
-        out.write(f"    top_dns_seen: [{quoted(kinds.get('name', []))}]\n    sample_ips: [{quoted(kinds.get('ip', []))}]\n\n")
+        behind = ["top_dns_seen", "sample_ips"]
+
+        def begin(what: str) -> None:
+            """Start the list ``what``, with the lists before it empty if they did not come."""
+            while behind:
+                if len(behind) == 2:
+                    out.write('  ip_churn_expected: true\n  grouping_key: ["dns_suffix", "proto", "dst_port"]\n  observations:\n')
+                now = behind.pop(0)
+                out.write(f"    {now}: [")
+                if now == what:
+                    return
+                out.write("]\n")
+
+        for kind, some in groupby(group, key=lambda r: r.kind):
+            if kind in ("name", "ip"):
+                begin("top_dns_seen" if kind == "name" else "sample_ips")
+                for k, r in enumerate(some):
+                    out.write((", " if k else "") + f'"{r.value}"')
+                out.write("]\n")
+            else:
+                ports = [r.value for r in some]
+                out.write(f'    - {{ proto: "{kind}", port: [{",".join(ports)}] }}\n')
+                everywhere.setdefault(kind, set()).update(map(int, ports))
+        begin("")
+        out.write("\n")
     out.write("\n# Observed destination ports (global)\n")
     for proto in ("udp", "tcp"):
         if everywhere[proto]:

@@ -165,3 +165,37 @@ def test_commands(spark, folder, tmp_path, capsys):
     assert (tmp_path / "maps" / "dns-ip-sorted.txt").read_text() == head + "a.example,2.2.2.2\na.example,10.0.0.1\nb.example,2.2.2.2\n"
     assert (tmp_path / "maps" / "ip-dns-sorted.txt").read_text() == head + "2.2.2.2,a.example\n2.2.2.2,b.example\n10.0.0.1,a.example\n"
     assert (tmp_path / "maps" / "ip-multi-dns-sorted.txt").read_text() == head + "2.2.2.2,2,a.example|b.example\n"
+
+
+def test_further_extractor(spark, folder):
+    import pyarrow as pa
+
+    from pyspark.sql import functions as F
+
+    from tapline.operators import extract
+
+    row = lambda p: (p["dst_port"], len(p["payload"])) if p["dst_port"] == 443 else None
+    one = extract.Extractor("syn_sizes", lambda: F.col("l4") == "tcp", row, "port int, size int", [("port", pa.int32()), ("size", pa.int32())])
+    extract.register(one)
+    try:
+        with pytest.raises(ValueError, match="already"):
+            extract.register(one)
+        pcap.register(spark)
+        got = extract.extracted(spark.read.format("pcap").load(str(folder)), "syn_sizes")
+        assert got.columns == [*extract.PLACE, "port", "size"] and {r.port for r in got.collect()} == {443}
+    finally:
+        del extract.EXTRACTORS["syn_sizes"]
+
+
+def test_external_endpoints_text(spark):
+    import io
+
+    from tapline.sinks import text
+
+    rows = [("a.example", "name", "x.a.example"), ("a.example", "ip", "9.9.9.9"), ("a.example", "tcp", "443"), ("a.example", "tcp", "80"), ("a.example", "udp", "53"), ("b.example", "ip", "8.8.8.8"), ("b.example", "ip", "8.8.4.4"), ("b.example", "name", "b.example"), ("c.example", "tcp", "1")]
+    out = io.StringIO()
+    text.external_endpoints(out, spark.createDataFrame(rows, "suffix string, kind string, value string"))
+    block = '- id: "svc_{0}"\n  group: "{0}"\n  match: {{ dns_suffix: "{0}" }}\n  listeners:\n{1}  ip_churn_expected: true\n  grouping_key: ["dns_suffix", "proto", "dst_port"]\n  observations:\n    top_dns_seen: [{2}]\n    sample_ips: [{3}]\n\n'
+    want = block.format("a.example", '    - { proto: "tcp", port: [80,443] }\n    - { proto: "udp", port: [53] }\n', '"x.a.example"', '"9.9.9.9"')
+    want += block.format("b.example", "", '"b.example"', '"8.8.4.4", "8.8.8.8"') + block.format("c.example", '    - { proto: "tcp", port: [1] }\n', "", "")
+    assert out.getvalue() == want + '\n# Observed destination ports (global)\n- { proto: "udp", port: [53] }\n- { proto: "tcp", port: [1,80,443] }\n'
