@@ -355,14 +355,16 @@ class BitmapStore:
         self._number(ids.select("kind", "id"))
 
         packing = _Packing([self.values[n] for n in names])
-        tall = self._coded(base).select(*packing.packed(), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{kind}").alias("id")) for k, kind in enumerate(kinds)])).alias("x")).select(*packing.names, "x.kind", "x.id").filter("id is not null")
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{kind}").alias("id")) for k, kind in enumerate(kinds)])).alias("x")
+        tall = self._coded(base).select(*packing.packed(), each).select(*packing.names, "x.kind", "x.id").filter("id is not null")
         if self.hot is not None:
             hot = _small(self.hot, self.hot.count())
-            found = tall.join(hot, ["kind", "id"])
             tall = tall.join(hot, ["kind", "id"], "left_anti")
+            # Hot rows are picked out before their dimensions are coded, so the other rows cost little here.
+            found = self._coded(base.select(*names, each).select(*names, "x.kind", "x.id").join(hot, ["kind", "id"]))
             word = floor_div(F.col("place"), WORD_BITS).alias("word")
             bit = F.expr(f"shiftleft(1L, cast(place % {WORD_BITS} as int))")
-            found = found.select(*[packing.digit(k).alias(f"d{k}") for k in range(len(names))], "kind", word, bit.alias("bit"))
+            found = found.select(*[f"d{k}" for k in range(len(names))], "kind", word, bit.alias("bit"))
             found = found.groupBy(*[f"d{k}" for k in range(len(names))], "kind", "word").agg(F.bit_or("bit").alias("bits"))
             self._store(found.withColumn("bucket", F.lit(0).cast("bigint")).select("bucket", "kind", *[f"d{k}" for k in range(len(names))], "word", "bits"), "hot")
         tall = tall.withColumn("bucket", self._bucket("kind", "id")).repartition(self.buckets, "bucket")
