@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from tapline.session import remove_at_exit, shared_folder
 from tapline.sinks import capturebytes as B
 from tapline.sources import pcap
 
+# Packets of a capture file that pcap_read writes: what a task holds in memory, and what one task reads back.
+PER_FILE = 50_000
 PACKETS = "file_idx int, pcap_file string, pkt_idx bigint, ts_ns bigint, truncated boolean, src_ip string, dst_ip string, l4 string, src_port int, dst_port int, payload binary"
 
 
@@ -104,23 +108,27 @@ def radius_attr_decode(spark, folder):
 
 
 def pcap_read(spark, folder):
-    """Queries written to capture files, one per task, and read back through the source."""
+    """Queries written to capture files, each of at most ``PER_FILE`` packets, and read back through the source."""
     place = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
     remove_at_exit(spark, place)
     rows = _named(spark, folder).filter(canonical_ipv4(F.col("issuer_ip")).isNotNull() & canonical_ipv4(F.col("resolver_ip")).isNotNull()).select("tx_id", "req_ts_ns", "issuer_ip", "resolver_ip", "dns_name")
 
+    def packet(r: dict) -> tuple[int, bytes]:
+        return r["req_ts_ns"], B.frame(r["issuer_ip"], r["resolver_ip"], B.udp(B.query(r["dns_name"].removesuffix(".")), 1024 + r["tx_id"] % 60000, 53), vlan=r["tx_id"] % 3 == 0)
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = fs.FileSystem.from_uri(place) if ":" in place else (fs.LocalFileSystem(), place)
         system.create_dir(folder, recursive=True)
-        n = 0
-        packets = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                packets.append((r["req_ts_ns"], B.frame(r["issuer_ip"], r["resolver_ip"], B.udp(B.query(r["dns_name"].removesuffix(".")), 1024 + r["tx_id"] % 60000, 53), vlan=r["tx_id"] % 3 == 0)))
-        if packets:
-            n = len(packets)
-            with system.open_output_stream(f"{folder}/{uuid.uuid4().hex}.pcap") as f:
-                f.write(B.classic(packets, nano=True))
+        n, task = 0, TaskContext.get().partitionId()
+        packets = (packet(r) for batch in batches for r in batch.to_pylist())
+        for k in itertools.count():
+            some = list(itertools.islice(packets, PER_FILE))
+            if not some:
+                break
+            n += len(some)
+            with system.open_output_stream(unfinished := f"{folder}/{uuid.uuid4().hex}.part") as f:
+                f.write(B.classic(some, nano=True))
+            system.move(unfinished, f"{folder}/{task}-{k}.pcap")  # a task that is repeated replaces what it left
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
     rows.mapInArrow(store, "n bigint").agg(F.sum("n")).first()
