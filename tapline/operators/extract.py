@@ -23,12 +23,18 @@ PLACE_SCHEMA = "file_idx int, pcap_file string, pkt_idx bigint, ts_ns bigint"
 PLACE_ARROW = [("file_idx", pa.int32()), ("pcap_file", pa.string()), ("pkt_idx", pa.int64()), ("ts_ns", pa.int64())]
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch of numbers, truth values, texts and bytes, several times as fast as ``to_pylist``; through NumPy, which would make floats of numbers beside nulls."""
+    columns = [c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns]
+    return (dict(zip(batch.schema.names, values, strict=True)) for values in zip(*columns, strict=True))
+
+
 def _parsed(packets: DataFrame, row: Callable[[dict], tuple | None], schema: str, arrow: list) -> DataFrame:
     full = pa.schema(PLACE_ARROW + arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tuple(p[c] for c in PLACE) + r for p in batch.to_pylist() if (r := row(p)) is not None]
+            found = [tuple(p[c] for c in PLACE) + r for p in rows_of(batch) if (r := row(p)) is not None]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), full, strict=True)], schema=full)
 

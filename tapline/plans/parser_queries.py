@@ -120,7 +120,7 @@ def pcap_read(spark, folder):
         system, folder = fs.FileSystem.from_uri(place) if ":" in place else (fs.LocalFileSystem(), place)
         system.create_dir(folder, recursive=True)
         n, task = 0, TaskContext.get().partitionId()
-        packets = (packet(r) for batch in batches for r in batch.to_pylist())
+        packets = (packet(r) for batch in batches for r in extract.rows_of(batch))
         for k in itertools.count():
             some = list(itertools.islice(packets, PER_FILE))
             if not some:

@@ -80,7 +80,7 @@ def batches(index: int, name: str, f, wanted: dict[str, frozenset] | None = None
     wanted, rows = wanted or {}, []
     make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
     for p in capture.packets(f):
-        if any(getattr(p, c) not in values for c, values in wanted.items()) or ports and not ports & {p.src_port, p.dst_port}:
+        if wanted and any(getattr(p, c) not in values for c, values in wanted.items()) or ports and not ports & {p.src_port, p.dst_port}:
             continue
         if lean and not needs_payload(p):
             p = p._replace(payload=None)

@@ -6,7 +6,9 @@ import os
 import time
 
 import duckdb
+import pyarrow as pa
 
+from tapline.operators import extract
 from tapline.parsers import capture
 from tapline.plans import parser_queries as Q
 from tapline.session import shared_folder
@@ -41,3 +43,13 @@ def test_files_are_bounded(spark, monkeypatch):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     want = c.execute(Q.SQL["pcap_read"]).df()
     assert sorted(got[want.columns].itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+
+
+def test_rows_of():
+    big = 2**60 + 1  # no float holds it
+    columns = {"a": [big, None], "b": [1, 2], "c": [True, False], "d": [None, True], "e": ["x", None], "f": [b"\0", None], "g": [None, None]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    got = list(extract.rows_of(batch))
+    assert got == batch.to_pylist() and [type(v) for r in got for v in r.values()] == [type(v) for r in batch.to_pylist() for v in r.values()]
+    assert list(extract.rows_of(batch.slice(0, 0))) == []
+    assert list(extract.rows_of(batch.slice(1))) == batch.slice(1).to_pylist()
